@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
 from tallyfold.operators.skew import side_by_side
+from tallyfold.sources.shared import small_table
 
 
 def align(df: DataFrame, schema: StructType, fill: float = 0.0) -> DataFrame:
@@ -59,12 +61,13 @@ def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
         wide = df.agg(*[F.count(c).alias(c) for c in types])
         return wide.unpivot([], list(types), "column", name)
 
-    facts = a.sparkSession.createDataFrame(
+    facts = small_table(
+        a.sparkSession,
         [
             (c, types_a.get(c), types_b.get(c), _status(types_a.get(c), types_b.get(c)))
             for c in names
         ],
-        "column string, type_a string, type_b string, status string",
+        {c: pa.string() for c in ("column", "type_a", "type_b", "status")},
     )
     # one row per column on each side
     return (

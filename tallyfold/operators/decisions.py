@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.scores import argmax_class, max_prob, quantise, quantised
 from tallyfold.operators.skew import bucketed_rank
+from tallyfold.sources.shared import small_table
 
 
 def _steps_reached(p: Column, edges: Sequence[float]) -> Column:
@@ -37,9 +39,10 @@ def threshold_sweep(
             F.sum((F.col(y) != 1).cast("bigint")).alias("neg"),
         )
     )
-    listed = df.sparkSession.createDataFrame(
+    listed = small_table(
+        df.sparkSession,
         [(0, None), *[(i + 1, float(t)) for i, t in enumerate(grid)]],
-        "bin int, threshold double",
+        {"bin": pa.int32(), "threshold": pa.float64()},
     )
     # one row per threshold from here on
     table = (

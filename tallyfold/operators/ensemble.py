@@ -11,11 +11,13 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.scores import SCORE_SCALE, quantise
 from tallyfold.operators.metrics import macro_f1, with_f1
+from tallyfold.sources.shared import small_table
 
 MAX_WEIGHTS = 20_000
 MAX_MODELS = 10_000
@@ -218,9 +220,10 @@ def simplex_search(
         .orderBy(quantise(F.col("macro_f1")).desc(), "w_index")
         .limit(top)
     )
-    listed = wide.sparkSession.createDataFrame(
+    listed = small_table(
+        wide.sparkSession,
         [(i, *w) for i, w in enumerate(weights)],
-        "w_index bigint, " + ", ".join(f"w_{c} double" for c in candidates),
+        {"w_index": pa.int64(), **{f"w_{c}": pa.float64() for c in candidates}},
     )
     # the grid has at most MAX_WEIGHTS rows, the result has `top`
     order = Window.orderBy(quantise(F.col("macro_f1")).desc(), "w_index")

@@ -20,50 +20,97 @@ from tallyfold.sources.shared import settle
 NO_FOLD = -1
 MAX_CLASSES = 256
 MAX_FOLDS = 1024
+WIDE_COLUMNS = 64
 
 
-def _own_fold(y: str, fold: str) -> Column:
-    return F.when(F.col(y).isNotNull(), F.col(fold)).otherwise(F.lit(NO_FOLD))
+def own_fold(y: str, fold: str, n_folds: int) -> Column:
+    """Fold of a labelled row, NO_FOLD of an unlabelled one. Nothing else can occur,
+    so a table with one row per fold has at most n_folds + 1 rows."""
+    return (
+        F.when(F.col(y).isNull(), F.lit(NO_FOLD))
+        .when(F.col(fold).between(0, n_folds - 1), F.col(fold))
+        .otherwise(F.raise_error(F.lit(f"folds must be 0 .. {n_folds - 1}")).cast("int"))
+    )
 
 
 def fold_counts(
-    df: DataFrame, key: str, y: str, fold: str, classes: Sequence
+    df: DataFrame,
+    key: str,
+    y: str,
+    fold: str,
+    classes: Sequence,
+    n_folds: int,
+    wide_columns: int = WIDE_COLUMNS,
 ) -> DataFrame:
     """(key, _fold, n_rows, n0 .. nK-1, l0 .. lK-1): rows of each class in this fold
-    (n) and in the key's other folds (l). A key has at most one row per fold."""
+    (n) and in the key's other folds (l). A key has at most one row per fold.
+
+    With few folds and classes all folds of a key are counted side by side, which
+    takes one shuffle. With many, the counts per (key, fold) are summed per key by a
+    second one.
+    """
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"{len(classes)} classes, at most {MAX_CLASSES} are supported")
-    own = df.groupBy(key, _own_fold(y, fold).alias("_fold")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[
-            F.sum((F.coalesce(F.col(y) == F.lit(c), F.lit(False))).cast("bigint")).alias(
-                f"n{i}"
-            )
-            for i, c in enumerate(classes)
-        ],
-    )
-    same_key = Window.partitionBy(key)
-    return own.select(
-        "*",
-        *[
-            F.when(
-                F.col(key).isNotNull(), F.sum(f"n{i}").over(same_key) - F.col(f"n{i}")
-            )
-            .otherwise(F.lit(0))
-            .alias(f"l{i}")
-            for i in range(len(classes))
-        ],
+    if not 0 < n_folds <= MAX_FOLDS:
+        raise ValueError(f"{n_folds} folds, at most {MAX_FOLDS} are supported")
+    k = range(len(classes))
+    rows = df.withColumn("_fold", own_fold(y, fold, n_folds))
+    if (n_folds + 1) * (len(classes) + 1) > wide_columns:
+        own = rows.groupBy(key, "_fold").agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            *[F.count_if(F.col(y) == F.lit(c)).alias(f"n{i}") for i, c in enumerate(classes)],
+        )
+        same_key = Window.partitionBy(key)
+        others = [F.sum(f"n{i}").over(same_key) - F.col(f"n{i}") for i in k]
+        return own.select(
+            "*",
+            *[
+                F.when(F.col(key).isNotNull(), c).otherwise(F.lit(0)).alias(f"l{i}")
+                for i, c in enumerate(others)
+            ],
+        )
+
+    # one small number per row says which count it adds to
+    width = len(classes) + 1
+    which = F.lit(len(classes))
+    for i in reversed(k):
+        which = F.when(F.col(y) == F.lit(classes[i]), F.lit(i)).otherwise(which)
+    cells = rows.select(key, ((F.col("_fold") + 1) * width + which).alias("_cell"))
+    every = [NO_FOLD, *range(n_folds)]
+    aggs = [
+        F.count_if(F.col("_cell") == (f + 1) * width + i).alias(f"c{f}_{i}")
+        for f in every
+        for i in range(width)
+    ]
+    total = [sum([F.col(f"c{f}_{i}") for f in every[1:]], F.lit(0)) for i in k]
+    parts = [
+        F.struct(
+            F.lit(f).alias("_fold"),
+            sum([F.col(f"c{f}_{i}") for i in k], F.col(f"c{f}_{len(classes)}")).alias("n_rows"),
+            *[F.col(f"c{f}_{i}").alias(f"n{i}") for i in k],
+            *[
+                F.when(F.col(key).isNotNull(), total[i] - F.col(f"c{f}_{i}"))
+                .otherwise(F.lit(0))
+                .alias(f"l{i}")
+                for i in k
+            ],
+        )
+        for f in every
+    ]
+    return (
+        cells.groupBy(key)
+        .agg(*aggs)
+        .select(key, F.inline(F.array(*parts)))
+        .filter(F.col("n_rows") > 0)
     )
 
 
 def prior_counts(counts: DataFrame, n_classes: int) -> DataFrame:
-    """(_fold, p0 .. pK-1): class totals of all other folds, one row per fold."""
-    per_fold = (
-        counts.filter(F.col("_fold").between(NO_FOLD, MAX_FOLDS - 1))
-        .groupBy("_fold")
-        .agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n_classes)])
+    """(_fold, p0 .. pK-1): class totals of all other folds, one row per fold.
+    Small by construction: at most MAX_FOLDS + 1 rows."""
+    per_fold = counts.groupBy("_fold").agg(
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(n_classes)]
     )
-    # at most MAX_FOLDS + 1 rows
     everything = Window.partitionBy(F.lit(0))
     return per_fold.select(
         "_fold",
@@ -88,20 +135,32 @@ def _labelled(index: Column, classes: Sequence) -> Column:
 
 
 def _looked_up(
-    df: DataFrame, key: str, y: str, fold: str, classes: Sequence, spread: str
+    df: DataFrame,
+    key: str,
+    y: str,
+    fold: str,
+    classes: Sequence,
+    spread: str,
+    n_folds: int,
 ) -> DataFrame:
     k = len(classes)
-    counts = settle(fold_counts(df, key, y, fold, classes))
+    counts = settle(fold_counts(df, key, y, fold, classes, n_folds))
     table = counts.filter(F.col(key).isNotNull()).select(
         key, "_fold", "n_rows", *[f"l{i}" for i in range(k)]
     )
-    rows = df.withColumn("_fold", _own_fold(y, fold))
+    rows = df.withColumn("_fold", own_fold(y, fold, n_folds))
     joined = lookup_join(rows, table, [key, "_fold"], [spread], settled=True)
     return joined.join(F.broadcast(prior_counts(counts, k)), "_fold", "left")
 
 
 def exact_key_features(
-    df: DataFrame, key: str, y: str, fold: str, classes: Sequence, spread: str
+    df: DataFrame,
+    key: str,
+    y: str,
+    fold: str,
+    classes: Sequence,
+    spread: str,
+    n_folds: int,
 ) -> DataFrame:
     """Five columns about the row's key, seen from the other folds.
 
@@ -109,7 +168,7 @@ def exact_key_features(
     there are two, else of the top class; key_n_classes; key_majority; key_unseen.
     """
     k = len(classes)
-    joined = _looked_up(df, key, y, fold, classes, spread)
+    joined = _looked_up(df, key, y, fold, classes, spread, n_folds)
     left, n, use = _usable(k)
     total = sum(use[1:], use[0])
     top = use[1] if k == 2 else F.greatest(*use)
@@ -125,10 +184,16 @@ def exact_key_features(
 
 
 def lookup_candidate(
-    df: DataFrame, key: str, y: str, fold: str, classes: Sequence, spread: str
+    df: DataFrame,
+    key: str,
+    y: str,
+    fold: str,
+    classes: Sequence,
+    spread: str,
+    n_folds: int,
 ) -> DataFrame:
     """Predict by the row's key: adds ``probs`` (share of each class) and ``y_hat``."""
-    joined = _looked_up(df, key, y, fold, classes, spread)
+    joined = _looked_up(df, key, y, fold, classes, spread, n_folds)
     _, _, use = _usable(len(classes))
     total = sum(use[1:], use[0])
     return joined.select(
@@ -139,7 +204,7 @@ def lookup_candidate(
 
 
 def lookup_confusion(
-    df: DataFrame, key: str, y: str, fold: str, classes: Sequence
+    df: DataFrame, key: str, y: str, fold: str, classes: Sequence, n_folds: int
 ) -> DataFrame:
     """Confusion table of ``lookup_candidate`` without joining back to the rows.
 
@@ -148,7 +213,9 @@ def lookup_confusion(
     Every true class must be in ``classes``.
     """
     k = len(classes)
-    counts = fold_counts(df.filter(F.col(y).isNotNull()), key, y, fold, classes)
+    counts = fold_counts(
+        df.filter(F.col(y).isNotNull()), key, y, fold, classes, n_folds
+    )
     joined = counts.join(F.broadcast(prior_counts(counts, k)), "_fold", "left")
     _, _, use = _usable(k)
     by_pred = joined.groupBy(argmax_of(use, exact=True).alias("_p")).agg(

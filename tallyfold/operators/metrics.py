@@ -26,14 +26,8 @@ def confusion(
     )
 
 
-def class_f1(
-    conf: DataFrame, classes: Sequence | None = None, by: Sequence[str] = ()
-) -> DataFrame:
-    """(by, class, tp, n_true, n_pred, f1) from a confusion table.
-
-    With a class list, classes outside it are dropped. Listed classes that never
-    occur get a zero row when there is no ``by``.
-    """
+def _class_cells(conf: DataFrame, classes: Sequence | None, by: Sequence[str]) -> DataFrame:
+    """(by, class, tp, n_true, n_pred): two rows per confusion cell."""
     zero = F.lit(0).cast("bigint")
     n = F.col("n")
     hit = F.when(F.col("y") == F.col("y_hat"), n).otherwise(zero)
@@ -52,17 +46,10 @@ def class_f1(
         ),
     )
     cells = conf.select(*by, F.inline(sides)).filter(F.col("class").isNotNull())
-    if classes is not None:
-        cells = cells.filter(F.col("class").isin(list(classes)))
-        if not by:
-            kind = dict(cells.dtypes)["class"]
-            listed = conf.sparkSession.createDataFrame([(c,) for c in classes], ["class"])
-            cells = cells.unionByName(
-                listed.select(
-                    F.col("class").cast(kind).alias("class"),
-                    *[zero.alias(c) for c in ("tp", "n_true", "n_pred")],
-                )
-            )
+    return cells if classes is None else cells.filter(F.col("class").isin(list(classes)))
+
+
+def _f1_of_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     return with_f1(
         cells.groupBy(*by, "class").agg(
             *[F.sum(c).alias(c) for c in ("tp", "n_true", "n_pred")]
@@ -70,6 +57,23 @@ def class_f1(
     )
 
 
+def class_f1(conf: DataFrame, classes: Sequence | None = None) -> DataFrame:
+    """(class, tp, n_true, n_pred, f1) from a confusion table.
+
+    With a class list, classes outside it are dropped and listed ones that never
+    occur get a zero row.
+    """
+    cells = _class_cells(conf, classes, ())
+    if classes is not None:
+        zero = F.lit(0).cast("bigint")
+        listed = conf.sparkSession.range(1).select(
+            F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"),
+            *[zero.alias(c) for c in ("tp", "n_true", "n_pred")],
+        )
+        cells = cells.unionByName(listed)
+    return _f1_of_cells(cells, ())
+
+
 def with_f1(per_class: DataFrame) -> DataFrame:
     """Add f1 = 2 tp / (n_true + n_pred), 0 where both are 0."""
     both = F.col("n_true") + F.col("n_pred")
@@ -86,7 +90,7 @@ def macro_f1_of(
     Closed scope: mean over the listed classes, absent ones count as 0. Open scope
     (no list): mean over the classes seen as true or predicted.
     """
-    f1 = class_f1(conf, classes, by)
+    f1 = _f1_of_cells(_class_cells(conf, classes, by), by)
     seen = F.count(F.lit(1))
     size = seen if classes is None else F.lit(len(classes)).cast("bigint")
     return f1.groupBy(*by).agg(
@@ -131,7 +135,7 @@ def accuracy(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def weighted_f1(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """F1 weighted by the true count of each class."""
-    f1 = class_f1(confusion(pred, by=by), None, by)
+    f1 = _f1_of_cells(_class_cells(confusion(pred, by=by), None, by), by)
     return f1.groupBy(*by).agg(
         F.sum("n_true").alias("n_rows"),
         (F.sum(F.col("f1") * F.col("n_true")) / F.sum("n_true")).alias("weighted_f1"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.versions import version_key
+from tallyfold.sources.shared import settle
 
 # The fields every iteration record has.
 RECORD_FIELDS = (
@@ -30,9 +31,9 @@ def latest_version(registry: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     key = version_key(F.col("version"))
     top = F.max(F.struct(key.alias("key"), F.col("version"), *carry)).alias("top")
     return (
-        registry.filter(key.isNotNull())
-        .groupBy("project")
+        registry.groupBy("project")
         .agg(top)
+        .filter(F.col("top.key").isNotNull())
         .select("project", "top.version", *[f"top.{c}" for c in carry])
     )
 
@@ -48,12 +49,13 @@ def version_delta(registry: DataFrame) -> DataFrame:
     The version order is followed inside segments of SEGMENT minor numbers; a table
     with one row per segment carries the last and the best score across them.
     """
-    key = version_key(F.col("version"))
+    logged = registry.groupBy("project", "metric", "version").agg(
+        F.max(F.struct("logged_at", "score"))["score"].alias("score")
+    )
     entries = (
-        registry.filter(key.isNotNull())
-        .groupBy("project", "metric", "version")
-        .agg(F.max(F.struct("logged_at", "score"))["score"].alias("score"))
-        .withColumn("_v", key)
+        settle(logged)
+        .withColumn("_v", version_key(F.col("version")))
+        .filter(F.col("_v").isNotNull())
         .withColumn("_major", F.col("_v.major"))
         .withColumn("_part", F.floor(F.col("_v.minor") / SEGMENT))
     )
@@ -129,18 +131,24 @@ def index_vs_log(index: DataFrame, log: DataFrame) -> DataFrame:
     latest version the log mentions? Status: same, differs, only_index, only_log."""
     def side(df: DataFrame, a: int) -> DataFrame:
         key = version_key(F.col("version"))
-        return df.filter(key.isNotNull() & F.col("project").isNotNull()).select(
+        return df.select(
             "project",
             F.lit(a).alias("_side"),
-            F.struct(key.alias("key"), F.col("version").alias("version")).alias("_v"),
+            F.when(
+                key.isNotNull(), F.struct(key.alias("key"), F.col("version").alias("version"))
+            ).alias("_v"),
         )
 
-    latest = lambda a: F.max(F.when(F.col("_side") == a, F.col("_v")))["version"]
+    def latest(a: int):
+        return F.max(F.when(F.col("_side") == a, F.col("_v")))["version"]
+
     both = (
         side(index, 0)
         .unionByName(side(log, 1))
         .groupBy("project")
         .agg(latest(0).alias("index_version"), latest(1).alias("log_version"))
+        .filter(F.col("project").isNotNull())
+        .filter(F.coalesce("index_version", "log_version").isNotNull())
     )
     status = (
         F.when(F.col("log_version").isNull(), "only_index")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.scores import argmax_class, softmax
 from tallyfold.functions.text import tokens
 from tallyfold.operators.folds import oof
-from tallyfold.operators.keys import MAX_FOLDS, NO_FOLD, fold_counts, prior_counts
+from tallyfold.operators.keys import MAX_FOLDS, NO_FOLD, fold_counts, own_fold, prior_counts
 from tallyfold.operators.skew import lookup_join, measured_small
 from tallyfold.sources.shared import settle
 
@@ -132,6 +132,7 @@ def naive_bayes_scores(
     y: str,
     fold: str,
     n_classes: int,
+    n_folds: int,
     alpha: float = 1.0,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
@@ -145,32 +146,25 @@ def naive_bayes_scores(
     """
     classes = list(range(n_classes))
     small = {} if broadcast_bytes is None else {"broadcast_bytes": broadcast_bytes}
+    # a null token per text counts the texts themselves and keeps empty ones
+    words = F.array_append(tokens(F.col(text)), F.lit(None))
     docs = df.select(
         id_col,
         F.col(y).alias("y"),
-        F.when(F.col(y).isNotNull(), F.col(fold)).otherwise(F.lit(NO_FOLD)).alias("_fold"),
-        F.explode_outer(tokens(F.col(text))).alias("token"),
-    )
-    counts = settle(
-        fold_counts(docs.filter(F.col("token").isNotNull()), "token", "y", "_fold", classes)
+        own_fold(y, fold, n_folds).alias("_fold"),
+        F.explode_outer(words).alias("token"),
     )
+    counts = settle(fold_counts(docs, "token", "y", "_fold", classes, n_folds))
+    by_token = counts.filter(F.col("token").isNotNull())
     labelled = sum([F.col(f"n{i}") for i in classes[1:]], F.col("n0"))
-    vocabulary = counts.filter(labelled > 0).agg(F.countDistinct("token")).first()[0]
-    own = df.groupBy(
-        F.when(F.col(y).isNotNull(), F.col(fold)).otherwise(F.lit(NO_FOLD)).alias("_fold")
-    ).agg(
-        *[
-            F.coalesce(F.sum((F.col(y) == c).cast("bigint")), F.lit(0)).alias(f"n{c}")
-            for c in classes
-        ]
-    )
-    # one row per fold, at most MAX_FOLDS + 1
-    prior = prior_counts(own, n_classes).select(
+    vocabulary = by_token.filter(labelled > 0).agg(F.countDistinct("token")).first()[0]
+    prior = prior_counts(counts.filter(F.col("token").isNull()), n_classes).select(
         "_fold", *[F.col(f"p{c}").alias(f"d{c}") for c in classes]
     )
-    totals = prior_counts(counts, n_classes).join(F.broadcast(prior), "_fold", "full_outer")
+    # one row per fold
+    totals = prior.join(F.broadcast(prior_counts(by_token, n_classes)), "_fold", "left")
 
-    table = counts.select(
+    table = by_token.select(
         "token", "_fold", "n_rows", *[F.log(F.col(f"l{c}") + alpha).alias(f"w{c}") for c in classes]
     )
     rows = docs.withColumn("n", F.lit(1))

@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from tallyfold.sources.shared import settle
 
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 HOT_SHARE = 1024
 SALTS = 64
 

@@ -45,7 +45,9 @@ def r6(column: str | Column, name: str | None = None) -> Column:
 
 
 def oof_macro_f1(spark: SparkSession, sf: str) -> DataFrame:
-    conf = keys.lookup_confusion(t.orders(spark, sf), "key", "y", "fold", t.STATUSES)
+    conf = keys.lookup_confusion(
+        t.orders(spark, sf), "key", "y", "fold", t.STATUSES, t.FOLDS
+    )
     return metrics.macro_f1_of(conf, t.STATUSES).select("n_rows", "n_classes", r6("macro_f1"))
 
 
@@ -123,7 +125,7 @@ def submission_roundtrip(spark, sf):
 
 
 def fold_hash(spark, sf):
-    docs = folds.assign_folds(t.texts(spark, sf), t.FOLDS, ["text"])
+    docs = folds.assign_folds(t.spread_out(t.texts(spark, sf), "id"), t.FOLDS, ["text"])
     return docs.select(F.col("id").alias("doc_id"), "fold")
 
 
@@ -139,7 +141,7 @@ def smoke_sample(spark, sf):
 
 
 def _key_features(rows: DataFrame) -> DataFrame:
-    return keys.exact_key_features(rows, "key", "y", "fold", t.STATUSES, "id")
+    return keys.exact_key_features(rows, "key", "y", "fold", t.STATUSES, "id", t.FOLDS)
 
 
 def exact_key_features(spark, sf):
@@ -150,7 +152,7 @@ def exact_key_features(spark, sf):
 
 def pattern_lookup_oof(spark, sf):
     rows = t.labelled_texts(spark, sf).withColumn("key", pattern_key(F.col("text")))
-    out = keys.lookup_candidate(rows.drop("text"), "key", "y", "fold", [0, 1], "id")
+    out = keys.lookup_candidate(rows.drop("text"), "key", "y", "fold", [0, 1], "id", t.FOLDS)
     return out.select(
         F.col("id").alias("doc_id"), "y", "y_hat", r6(F.col("probs")[1], "p1")
     )
@@ -309,12 +311,10 @@ def nb_scores(spark, sf):
 
 
 def _naive_bayes(spark, sf) -> DataFrame:
-    docs = t.spread_out(t.texts(spark, sf), "id")
-    labels = t.table(spark, sf, "labels").select(
-        F.col("doc_id").alias("id"), F.col("quality").alias("y")
+    rows = t.labelled_texts(spark, sf)
+    return scorers.naive_bayes_scores(
+        rows, "id", "text", "y", "fold", t.QUALITY_CLASSES, t.FOLDS
     )
-    rows = folds.assign_folds(docs.join(labels, "id", "left"), t.FOLDS, ["text"])
-    return scorers.naive_bayes_scores(rows, "id", "text", "y", "fold", t.QUALITY_CLASSES)
 
 
 def ml_scores(spark, sf):
@@ -430,7 +430,7 @@ def candidate_select(spark, sf):
 
 def threshold_sweep(spark, sf):
     rows = t.orders(spark, sf).withColumn("y", (F.col("y") == "F").cast("int"))
-    scored = keys.exact_key_features(rows, "key", "y", "fold", [0, 1], "id")
+    scored = keys.exact_key_features(rows, "key", "y", "fold", [0, 1], "id", t.FOLDS)
     out = decisions.threshold_sweep(scored, GRID, p="key_share")
     ratios = ("precision", "recall", "f1", "accuracy")
     return out.select("threshold", "tp", "fp", "fn", "tn", *[r6(c) for c in ratios], "best")

@@ -13,7 +13,7 @@ def _fold(expr: str, k: int = 5, seed: str = "") -> str:
 
 def _orders(key: str = "key", seed: str = "") -> str:
     keys = {
-        "key": "o_orderpriority || '|' || strftime(o_orderdate, '%Y-%m')",
+        "key": "o_orderpriority || '|' || strftime(o_orderdate, '%Y%m')",
         "coarse": "o_orderpriority",
     }
     return f"""select o_orderkey as id, o_orderstatus as y, {keys[key]} as key,

@@ -34,12 +34,17 @@ def spread_out(df: DataFrame, key: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str, seed: str = "") -> DataFrame:
     """id, y, coarse, key, fold. Folds go by customer, keys by priority and month."""
-    rows = table(spark, sf_dir, "orders").select(
+    rows = spread_out(
+        table(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_custkey"
+        ),
+        "o_orderkey",
+    ).select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderstatus").alias("y"),
         F.col("o_orderpriority").alias("coarse"),
         F.concat_ws(
-            "|", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM")
+            "|", "o_orderpriority", F.year("o_orderdate") * 100 + F.month("o_orderdate")
         ).alias("key"),
         "o_custkey",
     )
@@ -47,12 +52,17 @@ def orders(spark: SparkSession, sf_dir: str, seed: str = "") -> DataFrame:
 
 
 def order_predictions(spark: SparkSession, sf_dir: str, key: str = "key") -> DataFrame:
-    return lookup_candidate(orders(spark, sf_dir), key, "y", "fold", STATUSES, "id")
+    return lookup_candidate(orders(spark, sf_dir), key, "y", "fold", STATUSES, "id", FOLDS)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, y, key, fold of line items. Folds go by order, keys by size and discount."""
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = spread_out(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_returnflag", "l_quantity", "l_discount"
+        ),
+        "l_orderkey",
+    ).select(
         F.col("l_orderkey").alias("id"),
         F.col("l_returnflag").alias("y"),
         F.concat_ws(
@@ -65,7 +75,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup_candidate(lines(spark, sf_dir), "key", "y", "fold", FLAGS, "id")
+    return lookup_candidate(lines(spark, sf_dir), "key", "y", "fold", FLAGS, "id", FOLDS)
 
 
 def texts(spark: SparkSession, sf_dir: str, *extra: str | Column) -> DataFrame:
@@ -79,7 +89,7 @@ def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("y")
     )
-    rows = texts(spark, sf_dir).join(labels, "id", "left")
+    rows = spread_out(texts(spark, sf_dir), "id").join(labels, "id", "left")
     return assign_folds(rows, FOLDS, ["text"])
 
 

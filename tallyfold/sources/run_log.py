@@ -45,15 +45,14 @@ def parse_run_log(lines: DataFrame, line: str = "line") -> DataFrame:
     )
     names = F.regexp_extract_all(text, F.lit(METRIC), F.lit(1))
     values = F.regexp_extract_all(text, F.lit(METRIC), F.lit(2))
-    pairs = F.filter(
-        F.arrays_zip(names.alias("k"), values.alias("v")),
+    numbers = values.cast("array<double>")
+    last = F.filter(
+        F.arrays_zip(names.alias("k"), numbers.alias("v")),
         lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["k"]),
     )
-    metrics = F.map_from_entries(
-        F.transform(
-            pairs, lambda p: F.struct(p["k"].alias("k"), p["v"].cast("double").alias("v"))
-        )
-    )
+    metrics = F.when(
+        F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, numbers)
+    ).otherwise(F.map_from_entries(last))
     return lines.select(
         "*",
         stamp.try_cast("timestamp_ntz").alias("ts"),

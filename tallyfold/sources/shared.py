@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,3 +34,10 @@ def settle(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: dict[str, pa.DataType]) -> DataFrame:
+    """A grid or list from the driver as a local relation, without Python tasks."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    data = {n: pa.array(c, t) for (n, t), c in zip(schema.items(), columns)}
+    return spark.createDataFrame(pa.table(data))
