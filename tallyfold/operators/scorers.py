@@ -147,7 +147,7 @@ def naive_bayes_scores(
     classes = list(range(n_classes))
     small = {} if broadcast_bytes is None else {"broadcast_bytes": broadcast_bytes}
     # a null token per text counts the texts themselves and keeps empty ones
-    words = F.array_append(tokens(F.col(text)), F.lit(None))
+    words = F.concat(tokens(F.col(text)), F.array(F.lit(None).cast("string")))
     docs = df.select(
         id_col,
         F.col(y).alias("y"),

@@ -1,29 +1,54 @@
-"""File trees."""
+"""File trees. As everywhere in Spark, names that start with ``_`` or ``.`` are not
+listed."""
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.sources.shared import small_table
 
-def manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, length, modified) of all files below ``root``. File contents are not
-    selected, so they are not read."""
+
+def _scan(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(root)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
+    )
+
+
+def _empty_files(scan: DataFrame) -> DataFrame:
+    """(path) of the files Spark lists but does not read because they are empty.
+
+    The listing is on the driver anyway; only if it is longer than what the scan
+    finds is it compared.
+    """
+    listed = [re.sub(r"^file:/+", "file:/", unquote(p)) for p in scan.inputFiles()]
+    if scan.select("path").count() == len(listed):
+        listed = []
+    paths = small_table(scan.sparkSession, [(p,) for p in listed], {"path": pa.string()})
+    return paths.join(scan.select("path"), "path", "left_anti")
+
+
+def manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, length, modified) of all files below ``root``. File contents are not
+    selected, so they are not read. Empty files have no ``modified``."""
+    scan = _scan(spark, root, glob).select(
+        "path", "length", F.col("modificationTime").alias("modified")
+    )
+    return scan.unionByName(
+        _empty_files(scan).withColumn("length", F.lit(0).cast("bigint")),
+        allowMissingColumns=True,
     )
 
 
 def contents(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, content) of all files below ``root``."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(root)
-        .select("path", "content")
-    )
+    scan = _scan(spark, root, glob)
+    empty = _empty_files(scan).withColumn("content", F.lit(b""))
+    return scan.select("path", "content").unionByName(empty)
