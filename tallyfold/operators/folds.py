@@ -70,6 +70,18 @@ def oof(
     return reduce(DataFrame.unionByName, [one(f) for f in range(k)])
 
 
+def oof_score(
+    df: DataFrame,
+    k: int,
+    fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    metric: Callable[[DataFrame], DataFrame],
+    fold: str = "fold",
+) -> DataFrame:
+    """A metric of the out-of-fold predictions, pooled over the folds (not the mean of
+    the folds' own scores)."""
+    return metric(oof(df, k, fit, fold))
+
+
 def smoke_sample(df: DataFrame, per_class: int, y: str, id_col: str) -> DataFrame:
     """The first ``per_class`` rows of every class by md5 of the id.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.text import template
 from tallyfold.operators.skew import lookup_join
+from tallyfold.sources.shared import settle
 
 
 def log_counts(
@@ -45,9 +46,15 @@ def rare_template(
     if not by:
         raise ValueError("name at least one column to take the share within")
     rows = df.withColumn("template", template(message))
-    counts = rows.groupBy(*by, "template").agg(F.count(F.lit(1)).alias("template_n"))
-    sizes = counts.groupBy(*by).agg(F.sum("template_n").alias("_all"))
-    table = counts.join(sizes, list(by)).withColumn("n_rows", F.col("template_n"))
+    counts = settle(
+        rows.groupBy(*by, "template").agg(F.count(F.lit(1)).alias("template_n"))
+    )
+    sizes = counts.groupBy(*by).agg(
+        F.sum("template_n").alias("_all"), F.count(F.lit(1)).alias("n_rows")
+    )
+    table = lookup_join(counts, sizes, by, ["template"]).withColumn(
+        "n_rows", F.col("template_n")
+    )
     share = F.col("template_n") / F.col("_all")
     return (
         lookup_join(rows, table, [*by, "template"], [spread])

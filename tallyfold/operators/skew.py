@@ -61,17 +61,22 @@ def lookup_join(
     if size <= broadcast_bytes:
         return rows.join(F.broadcast(values), on, "left")
 
+    # hot keys are known by a hash, 8 bytes each; a collision only splits a key more
     hot = F.broadcast(
-        table.filter(F.col(weight) * HOT_SHARE >= F.lit(total)).select(
-            *on, F.lit(True).alias("_hot")
-        )
+        table.filter(F.col(weight) * HOT_SHARE >= F.lit(total))
+        .select(F.xxhash64(*on).alias("_key"), F.lit(True).alias("_hot"))
+        .distinct()
     )
     salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
     no_key = F.lit(False)
     for name in on:
         no_key = no_key | F.col(name).isNull()
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key", F.xxhash64(*on)).join(hot, "_key", "left").drop("_key")
+
     salted = (
-        rows.join(hot, on, "left")
+        marked(rows)
         .withColumn(
             "_salt", F.when(F.col("_hot") | no_key, salt).otherwise(F.lit(0))
         )
@@ -80,9 +85,7 @@ def lookup_join(
     copies = F.when(
         F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))
     ).otherwise(F.array(F.lit(0)))
-    replicated = (
-        values.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
+    replicated = marked(values).withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.join(replicated, [*on, "_salt"], "left").drop("_salt")
 
 

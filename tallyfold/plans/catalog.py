@@ -27,6 +27,7 @@ from tallyfold.operators import (
     tabular,
     text_features,
 )
+from tallyfold.plans import selection
 from tallyfold.plans import tables as t
 from tallyfold.sources import run_log
 from tallyfold.sources import submission as files
@@ -322,7 +323,7 @@ def ml_scores(spark, sf):
     rows = settle(rows).withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
     parts = [
         scorers.ml_oof_scores(rows, kind, 2, K, n_features=64)
-        for kind in ("logistic", "forest")
+        for kind in ("logistic", "forest", "mlp")
     ]
     scored = reduce(DataFrame.unionByName, parts)
     return scored.select(
@@ -335,6 +336,35 @@ def ml_scores(spark, sf):
     )
 
 
+def text_ml_scores(spark, sf):
+    rows = folds.assign_folds(t.labelled_texts(spark, sf).drop("fold"), 2, ["text"])
+    hashed = text_features.hashed_tokens(rows, dims=1 << 12).select("id", "y", "fold", "features")
+    scored = scorers.ml_oof_scores(settle(hashed), "logistic", 2, t.QUALITY_CLASSES)
+    return scored.select(
+        F.col("id").alias("doc_id"), "fold", "y", r6(F.col("probs")[1], "p1")
+    )
+
+
+def tabular_ml_scores(spark, sf):
+    rows = t.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        "o_custkey",
+        (F.array_position(F.array(*map(F.lit, t.STATUSES)), F.col("o_orderstatus")) - 1)
+        .cast("int")
+        .alias("y"),
+        "o_totalprice",
+        "o_orderpriority",
+        F.month("o_orderdate").alias("o_month"),
+    )
+    rows = folds.assign_folds(rows, 2, ["o_custkey"])
+    made = tabular.tabular_vector(rows, ["o_totalprice", "o_month"], ["o_orderpriority"])
+    made = settle(made.select("id", "y", "fold", "features"))
+    scored = scorers.ml_oof_scores(made, "logistic", 2, len(t.STATUSES))
+    return scored.select(
+        "id", "fold", "y", argmax_class(F.col("probs"), len(t.STATUSES)).alias("y_hat")
+    )
+
+
 def model_reload_same_scores(spark, sf):
     rows = t.vectors(spark, sf).withColumn(
         "features", array_to_vector(F.col("x").cast("array<double>"))
@@ -398,33 +428,29 @@ def stack_fusion(spark, sf):
     return out.select("id", "y", "fold", "y_hat", r6(max_prob(F.col("probs")), "confidence"))
 
 
-def _candidate_predictions(spark, sf) -> DataFrame:
-    """Long predictions of the four candidates and their even mixture."""
-    wide = _wide(spark, sf)
-    mixed = ensemble.fuse(t.BLOCKS, [0.25] * 4, K)
-    named = [F.struct(F.lit(b).alias("candidate"), F.col(b).alias("probs")) for b in t.BLOCKS]
-    named.append(F.struct(F.lit("fusion").alias("candidate"), mixed.alias("probs")))
-    long = wide.select("id", "y", F.inline(F.array(*named)))
-    return long.withColumn("y_hat", argmax_class(F.col("probs"), K))
-
-
-def _guard(pred: DataFrame) -> DataFrame:
-    base = pred.filter(F.col("candidate") == "block0")
-    return ensemble.guard_class_count(base, pred, 1, 0.8, 1.25)
+def _even_mixture(spark, sf) -> DataFrame:
+    return settle(
+        selection.candidate_predictions(_wide(spark, sf), t.BLOCKS, [0.25] * 4, K)
+    )
 
 
 def class_guard(spark, sf):
-    out = _guard(settle(_candidate_predictions(spark, sf)))
+    out = selection.guard(_even_mixture(spark, sf), "block0", 1, 0.8, 1.25)
     return out.select("candidate", "n_base", "n_candidate", r6("ratio"), "passes")
 
 
 def candidate_select(spark, sf):
-    pred = settle(_candidate_predictions(spark, sf))
+    pred = _even_mixture(spark, sf)
     scores = metrics.macro_f1(pred, list(range(K)), by=["candidate"])
-    out = ensemble.select_candidate(scores, _guard(pred))
+    out = ensemble.select_candidate(scores, selection.guard(pred, "block0", 1, 0.8, 1.25))
     return out.select("candidate", r6("macro_f1"), "passes", "rank", "selected")
 
 
+def selected_submission(spark, sf):
+    wide = _wide(spark, sf)
+    return selection.selected_submission(wide, t.BLOCKS, K, "block0", 1, 0.8, 1.25)
+
+
 # --- decisions and pseudo-labels --------------------------------------------------
 
 
@@ -564,6 +590,8 @@ QUERIES = {
         centroid_scores,
         nb_scores,
         ml_scores,
+        text_ml_scores,
+        tabular_ml_scores,
         model_reload_same_scores,
         seed_ensemble,
         metric_by_seed,
@@ -572,6 +600,7 @@ QUERIES = {
         stack_fusion,
         class_guard,
         candidate_select,
+        selected_submission,
         threshold_sweep,
         gated_decision,
         pseudo_label,

@@ -190,7 +190,7 @@ CANDIDATES = f"""{BLOCK0},
               from counts cross join
                 (select n_candidate as n_base from counts where candidate = 'block0') b)"""
 
-SIMPLEX = f"""with {BLOCK0},
+SEARCH = f"""{BLOCK0},
     wide as (select id, y, c, {', '.join(f"max(p) filter (candidate = '{b}') as {b}" for b in BLOCKS)}
              from p group by id, y, c),
     g as (select i, j, k, 10 - i - j - k as l from range(11) a(i), range(11) b(j), range(11) c(k)
@@ -204,10 +204,32 @@ SIMPLEX = f"""with {BLOCK0},
              from mix group by w, id),
     {_by_model_f1('pred', 'w')},
     ranked as (select *, row_number() over (order by floor(macro_f1 * 1e9 + 0.5e0) desc, w) as rank
-               from f1s)
+               from f1s)"""
+
+SIMPLEX = f"""with {SEARCH}
     select rank::int as rank, {', '.join(f'w_{b}' for b in BLOCKS)}, round(macro_f1, 6) as macro_f1
     from ranked join w using (w) where rank <= 5"""
 
+BEST = f"""with {SEARCH},
+    longp as (select id, y, candidate, c, p from p union all
+      select id, y, 'fusion', c, w_block0 * block0 + w_block1 * block1 + w_block2 * block2
+        + w_block3 * block3
+      from wide cross join (select w.* from w join ranked using (w) where rank = 1)),
+    said as ({_decide('longp', 'id, candidate', 'y')}),
+    counts as (select candidate, count(*) filter (y_hat = 1) as n from said group by candidate),
+    guard as (select candidate, n::double / (select n from counts where candidate = 'block0')
+                between 0.8e0 and 1.25e0 as passes from counts),
+    conf2 as (select candidate, y, y_hat, count(*) as n from said group by all),
+    sides2 as (select candidate, y as class, case when y = y_hat then n else 0 end as tp,
+                 n as n_true, 0 as n_pred from conf2
+               union all select candidate, y_hat, 0, 0, n from conf2),
+    per2 as (select candidate, class, 2e0 * sum(tp) / (sum(n_true) + sum(n_pred)) as f1
+             from sides2 group by all),
+    pick as (select candidate from per2 join guard using (candidate) where passes
+             group by candidate
+             order by floor(sum(f1) / 10 * 1e9 + 0.5e0) desc, candidate limit 1)
+    select id, candidate, y_hat from said join pick using (candidate)"""
+
 # --- naive Bayes --------------------------------------------------------------------
 
 TOKEN = r"[\p{L}\p{N}]+"
@@ -437,6 +459,7 @@ SQL = {
               from p join f1s using (candidate, seed) group by id, c)
         select id, y_hat, round(top, 6) as confidence from ({_decide('m', 'id')})""",
     "simplex_fusion": SIMPLEX,
+    "selected_submission": BEST,
     "class_guard": f"""with {CANDIDATES} select candidate, n_base, n_candidate,
         round(ratio, 6) as ratio, passes from guard""",
     "candidate_select": f"""with {CANDIDATES}, {_by_model_f1('pred', 'candidate')},

@@ -26,10 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_out(df: DataFrame, key: str) -> DataFrame:
-    """Give work that is heavy per row at least one task per core. A table of many
-    files has enough scan tasks and is left alone."""
+    """Give work that is heavy per row at least one task per core. A table that is read
+    by enough tasks is left alone."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks, key) if len(df.inputFiles()) < tasks else df
+    return df.repartition(tasks, key) if df.rdd.getNumPartitions() < tasks else df
 
 
 def orders(spark: SparkSession, sf_dir: str, seed: str = "") -> DataFrame:

@@ -40,7 +40,7 @@ def _cell(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return repr(round(value, 6) + 0.0)
+        return repr(value)
     return str(value)
 
 

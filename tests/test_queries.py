@@ -5,7 +5,7 @@ import pytest
 from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
 from tests.compare import compare, duck
 
-ROWS_ONLY = {"ml_scores", "stack_fusion"}
+ROWS_ONLY = {"ml_scores", "text_ml_scores", "tabular_ml_scores", "stack_fusion"}
 
 
 @pytest.fixture(scope="module")

@@ -92,6 +92,21 @@ def test_ml_scorers(spark, kind, tmp_path):
     assert scorers.score_with(again, df, 3).exceptAll(a).count() == 0
 
 
+def test_oof_score_pools_the_folds(spark):
+    _, df = points(spark)
+    df = df.withColumn("features", array_to_vector("x")).withColumn("fold", F.col("fold") % 2)
+
+    def fit(train):
+        model = scorers.fit_scorer(train, "logistic", 3)
+        return lambda test: scorers.score_with(model, test, 3, keep=["id", "y"]).withColumn(
+            "y_hat", argmax_class(F.col("probs"), 3)
+        )
+
+    score = folds.oof_score(df, 2, fit, lambda p: metrics.macro_f1(p, [0, 1, 2])).first()
+    assert score.n_rows == df.filter("y is not null").count()
+    assert score.macro_f1 > 0.8
+
+
 def test_stack(spark):
     rows, df = points(spark)
     model = scorers.fit_centroids(df, "x", "y", "fold", 3)
