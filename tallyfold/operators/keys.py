@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.scores import argmax_of
-from tallyfold.operators.skew import lookup_join
-from tallyfold.sources.shared import settle
+from tallyfold.operators.skew import key_table, lookup_join
 
 NO_FOLD = -1
 MAX_CLASSES = 256
@@ -144,13 +143,13 @@ def _looked_up(
     n_folds: int,
 ) -> DataFrame:
     k = len(classes)
-    counts = settle(fold_counts(df, key, y, fold, classes, n_folds))
-    table = counts.filter(F.col(key).isNotNull()).select(
+    counts = key_table(fold_counts(df, key, y, fold, classes, n_folds))
+    others = counts.filter(F.col(key).isNotNull()).select(
         key, "_fold", "n_rows", *[f"l{i}" for i in range(k)]
     )
     rows = df.withColumn("_fold", own_fold(y, fold, n_folds))
-    joined = lookup_join(rows, table, [key, "_fold"], [spread], settled=True)
-    return joined.join(F.broadcast(prior_counts(counts, k)), "_fold", "left")
+    joined = lookup_join(rows, others, [key, "_fold"], [spread])
+    return joined.join(F.broadcast(prior_counts(counts.table, k)), "_fold", "left")
 
 
 def exact_key_features(

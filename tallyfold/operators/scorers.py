@@ -23,7 +23,7 @@ from tallyfold.functions.scores import argmax_class, softmax
 from tallyfold.functions.text import tokens
 from tallyfold.operators.folds import oof
 from tallyfold.operators.keys import MAX_FOLDS, NO_FOLD, fold_counts, own_fold, prior_counts
-from tallyfold.operators.skew import lookup_join, measured_small
+from tallyfold.operators.skew import BROADCAST_BYTES, key_table, lookup_join
 from tallyfold.sources.shared import settle
 
 MAX_MODEL_VALUES = 20_000_000
@@ -134,7 +134,7 @@ def naive_bayes_scores(
     n_classes: int,
     n_folds: int,
     alpha: float = 1.0,
-    broadcast_bytes: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(id, fold, y, probs): multinomial naive Bayes, labelled rows scored by the
     other folds, unlabelled ones (fold -1) by all labels.
@@ -145,7 +145,6 @@ def naive_bayes_scores(
     frequent tokens split.
     """
     classes = list(range(n_classes))
-    small = {} if broadcast_bytes is None else {"broadcast_bytes": broadcast_bytes}
     # a null token per text counts the texts themselves and keeps empty ones
     words = F.concat(tokens(F.col(text)), F.array(F.lit(None).cast("string")))
     docs = df.select(
@@ -154,7 +153,8 @@ def naive_bayes_scores(
         own_fold(y, fold, n_folds).alias("_fold"),
         F.explode_outer(words).alias("token"),
     )
-    counts = settle(fold_counts(docs, "token", "y", "_fold", classes, n_folds))
+    counted = key_table(fold_counts(docs, "token", "y", "_fold", classes, n_folds))
+    counts = counted.table
     by_token = counts.filter(F.col("token").isNotNull())
     labelled = sum([F.col(f"n{i}") for i in classes[1:]], F.col("n0"))
     vocabulary = by_token.filter(labelled > 0).agg(F.countDistinct("token")).first()[0]
@@ -164,14 +164,14 @@ def naive_bayes_scores(
     # one row per fold
     totals = prior.join(F.broadcast(prior_counts(by_token, n_classes)), "_fold", "left")
 
-    table = by_token.select(
+    weights = counted.filter(F.col("token").isNotNull()).select(
         "token", "_fold", "n_rows", *[F.log(F.col(f"l{c}") + alpha).alias(f"w{c}") for c in classes]
     )
     rows = docs.withColumn("n", F.lit(1))
-    if not measured_small(table, "n_rows", **small):
+    if not weights.is_small(broadcast_bytes):
         rows = docs.groupBy(id_col, "y", "_fold", "token").agg(F.count(F.lit(1)).alias("n"))
     joined = lookup_join(
-        rows, table, ["token", "_fold"], [id_col, "token"], settled=True, **small
+        rows, weights, ["token", "_fold"], [id_col, "token"], broadcast_bytes=broadcast_bytes
     )
     summed = joined.groupBy(id_col, "y", "_fold").agg(
         F.sum(F.when(F.col("token").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("_n"),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,55 +16,70 @@ HOT_SHARE = 1024
 SALTS = 64
 
 
-def _size(table: DataFrame, weight: str) -> tuple[int, int]:
-    """(upper estimate of the bytes a broadcast would take, rows the table stands for)."""
-    fixed = 16 * len(table.columns) + 64
-    width = F.lit(fixed)
+@dataclass(frozen=True)
+class KeyTable:
+    """A written table with one row per key, and what was measured while writing it:
+    an upper estimate of the bytes a broadcast takes, and the rows it stands for."""
+
+    table: DataFrame
+    weight: str
+    size: int
+    total: int
+
+    def select(self, *columns) -> KeyTable:
+        """Fewer or narrower columns, the weight among them."""
+        return replace(self, table=self.table.select(*columns))
+
+    def filter(self, condition: Column) -> KeyTable:
+        return replace(self, table=self.table.filter(condition))
+
+    def is_small(self, limit: int) -> bool:
+        return self.size <= limit
+
+
+def key_table(table: DataFrame, weight: str = "n_rows") -> KeyTable:
+    """Write the table and measure it on the way."""
+    width = F.lit(16 * len(table.columns) + 64)
     for field in table.schema.fields:
         if isinstance(field.dataType, StringType):
             width = width + 2 * F.coalesce(F.octet_length(field.name), F.lit(0))
-    row = table.agg(
-        F.coalesce(F.sum(width), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0))
-    ).first()
-    return int(row[0]), int(row[1])
-
-
-def measured_small(
-    table: DataFrame, weight: str, broadcast_bytes: int = BROADCAST_BYTES
-) -> bool:
-    """Whether ``lookup_join`` would broadcast this table."""
-    return _size(table, weight)[0] <= broadcast_bytes
+    seen = Observation()
+    written = settle(
+        table.observe(
+            seen,
+            F.coalesce(F.sum(width), F.lit(0)).alias("size"),
+            F.coalesce(F.sum(weight), F.lit(0)).alias("total"),
+        )
+    )
+    return KeyTable(written, weight, int(seen.get["size"]), int(seen.get["total"]))
 
 
 def lookup_join(
     rows: DataFrame,
-    table: DataFrame,
+    keys: DataFrame | KeyTable,
     on: Sequence[str],
     spread: Sequence[str],
     weight: str = "n_rows",
     broadcast_bytes: int = BROADCAST_BYTES,
-    settled: bool = False,
 ) -> DataFrame:
     """Left join of many rows to a table with one row per key.
 
-    ``weight`` is a column of ``table``: how many of ``rows`` have that key; it is
+    ``weight`` is a column of the table: how many of ``rows`` have that key; it is
     dropped. A table measured below ``broadcast_bytes`` is broadcast. Beyond that,
     rows are shuffled by key, and each key with at least 1/HOT_SHARE of all rows
     (so no more than HOT_SHARE keys) is split into SALTS parts by a hash of the
     ``spread`` columns. Rows with a null key have no partner and are split too.
-    ``settled`` says that ``table`` is read from storage and cheap to read twice.
     """
     on = list(on)
-    if not settled:
-        table = settle(table)
-    size, total = _size(table, weight)
-    values = table.drop(weight)
-    if size <= broadcast_bytes:
+    if not isinstance(keys, KeyTable):
+        keys = key_table(keys, weight)
+    values = keys.table.drop(keys.weight)
+    if keys.is_small(broadcast_bytes):
         return rows.join(F.broadcast(values), on, "left")
 
     # hot keys are known by a hash, 8 bytes each; a collision only splits a key more
     hot = F.broadcast(
-        table.filter(F.col(weight) * HOT_SHARE >= F.lit(total))
+        keys.table.filter(F.col(keys.weight) * HOT_SHARE >= F.lit(keys.total))
         .select(F.xxhash64(*on).alias("_key"), F.lit(True).alias("_hot"))
         .distinct()
     )

@@ -507,17 +507,16 @@ def version_delta(spark, sf):
         "project",
         "metric",
         "version",
-        r6("score"),
+        "score",
         r6("delta_points"),
-        r6("best_before"),
+        "best_before",
         "regression",
     )
 
 
 def score_gap(spark, sf):
     out = registry.score_gap(t.registry(spark, sf), "local", "platform")
-    names = ("local_score", "platform_score", "gap_points")
-    return out.select("project", "version", *[r6(c) for c in names])
+    return out.select("project", "version", "local_score", "platform_score", r6("gap_points"))
 
 
 def run_log_parse(spark, sf):

@@ -515,13 +515,13 @@ SQL = {
                 max(score) over (w rows between unbounded preceding and 1 preceding) as best_before
               from last where r = 1
               window w as (partition by project, metric order by major, minor, suffix))
-        select project, metric, version, round(score, 6) as score,
-          round(delta * 100e0, 6) as delta_points, round(best_before, 6) as best_before,
+        select project, metric, version, score,
+          round(delta * 100e0, 6) as delta_points, best_before,
           coalesce(score < best_before, false) as regression from d""",
     "score_gap": f"""with {REGISTRY}, g as (select project, version,
           max(score) filter (metric = 'local') as l, max(score) filter (metric = 'platform') as p
           from reg group by project, version)
-        select project, version, round(l, 6) as local_score, round(p, 6) as platform_score,
+        select project, version, l as local_score, p as platform_score,
           round((l - p) * 100e0, 6) as gap_points from g where l is not null and p is not null""",
     "run_log_parse": f"""with {LOG} select ts, project, version, selected, macro_f1, n_metrics
         from log""",
