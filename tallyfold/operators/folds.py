@@ -13,12 +13,18 @@ from tallyfold.operators.skew import bucketed_rank, lookup_join
 
 
 def assign_folds(
-    df: DataFrame, k: int, group: Sequence[str], seed: str = "", name: str = "fold"
+    df: DataFrame,
+    k: int,
+    group: Sequence[str],
+    seed: str = "",
+    name: str = "fold",
+    portable: bool = True,
 ) -> DataFrame:
     """Fold from a hash of the content columns: no shuffle, and equal content is
-    always in one fold."""
+    always in one fold. ``portable`` folds can be repeated by other engines, the
+    others are much cheaper."""
     key = F.col(group[0]) if len(group) == 1 else content_key(*map(F.col, group))
-    return df.withColumn(name, hash_mod(key, k, seed))
+    return df.withColumn(name, hash_mod(key, k, seed, portable))
 
 
 def stratified_folds(

@@ -44,9 +44,9 @@ def fold_counts(
     """(key, _fold, n_rows, n0 .. nK-1, l0 .. lK-1): rows of each class in this fold
     (n) and in the key's other folds (l). A key has at most one row per fold.
 
-    With few folds and classes all folds of a key are counted side by side, which
-    takes one shuffle. With many, the counts per (key, fold) are summed per key by a
-    second one.
+    Rows are reduced to counts per (key, fold, class) in the task that reads them and
+    then brought together per key: side by side with few folds and classes, by a
+    window over the key's folds with many.
     """
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"{len(classes)} classes, at most {MAX_CLASSES} are supported")
@@ -69,37 +69,29 @@ def fold_counts(
             ],
         )
 
-    # one small number per row says which count it adds to
+    # one small number says which count a row adds to
     width = len(classes) + 1
     which = F.lit(len(classes))
     for i in reversed(k):
         which = F.when(F.col(y) == F.lit(classes[i]), F.lit(i)).otherwise(which)
-    cells = rows.select(key, ((F.col("_fold") + 1) * width + which).alias("_cell"))
-    every = [NO_FOLD, *range(n_folds)]
-    aggs = [
-        F.count_if(F.col("_cell") == (f + 1) * width + i).alias(f"c{f}_{i}")
-        for f in every
-        for i in range(width)
-    ]
-    total = [sum([F.col(f"c{f}_{i}") for f in every[1:]], F.lit(0)) for i in k]
-    parts = [
-        F.struct(
-            F.lit(f).alias("_fold"),
-            sum([F.col(f"c{f}_{i}") for i in k], F.col(f"c{f}_{len(classes)}")).alias("n_rows"),
-            *[F.col(f"c{f}_{i}").alias(f"n{i}") for i in k],
-            *[
-                F.when(F.col(key).isNotNull(), total[i] - F.col(f"c{f}_{i}"))
-                .otherwise(F.lit(0))
-                .alias(f"l{i}")
-                for i in k
-            ],
-        )
-        for f in every
-    ]
+    cells = (
+        rows.select(key, ((F.col("_fold") + 1) * width + which).alias("_cell"))
+        .groupBy(key, "_cell")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    count = [[f"c{f * width + i}" for i in range(width)] for f in range(n_folds + 1)]
+    total = [" + ".join(own[i] for own in count) for i in k]
+    parts = []
+    for f, own in enumerate(count):
+        fields = [f"{f + NO_FOLD} as _fold", f"{' + '.join(own)} as n_rows"]
+        fields += [f"{own[i]} as n{i}" for i in k]
+        fields += [f"if(_keyed, {total[i]} - {own[i]}, 0L) as l{i}" for i in k]
+        parts.append(f"struct({', '.join(fields)})")
     return (
         cells.groupBy(key)
-        .agg(*aggs)
-        .select(key, F.inline(F.array(*parts)))
+        .agg(*[F.expr(f"sum(if(_cell = {c[1:]}, _n, 0L)) as {c}") for own in count for c in own])
+        .withColumn("_keyed", F.col(key).isNotNull())
+        .select(key, F.expr(f"inline(array({', '.join(parts)}))"))
         .filter(F.col("n_rows") > 0)
     )
 

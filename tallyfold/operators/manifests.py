@@ -89,15 +89,12 @@ def find_leftovers(
         temporary.alias("_temporary"),
         F.nullif(version, F.lit("")).alias("_version"),
     )
-    # files per project, to see which projects are large
-    sizes = files.groupBy("project").agg(F.count(F.lit(1)).alias("n_rows"))
     current = latest_version(registry).withColumnRenamed("version", "_current")
-    table = current.join(sizes, "project")
     reason = F.when(F.col("_temporary"), "temporary").when(
         F.col("_version") != F.col("_current"), "historic"
     )
     return (
-        lookup_join(files, table, ["project"], ["path"])
+        lookup_join(files, current, ["project"], ["path"], weight=None)
         .withColumn("reason", reason)
         .filter(F.col("reason").isNotNull())
         .select("project", "path", "reason")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from tallyfold.sources.shared import settle
 
@@ -22,8 +22,8 @@ class KeyTable:
     an upper estimate of the bytes a broadcast takes, and the rows it stands for."""
 
     table: DataFrame
-    weight: str
-    size: int
+    weight: str | None
+    size: float
     total: int
 
     def select(self, *columns) -> KeyTable:
@@ -37,21 +37,25 @@ class KeyTable:
         return self.size <= limit
 
 
-def key_table(table: DataFrame, weight: str = "n_rows") -> KeyTable:
-    """Write the table and measure it on the way."""
+def key_table(table: DataFrame, weight: str | None = "n_rows") -> KeyTable:
+    """Write the table and measure it on the way. Arrays, maps and structs are not
+    measured; a table that has any is never taken for small."""
     width = F.lit(16 * len(table.columns) + 64)
+    nested = False
     for field in table.schema.fields:
-        if isinstance(field.dataType, StringType):
+        if isinstance(field.dataType, (StringType, BinaryType)):
             width = width + 2 * F.coalesce(F.octet_length(field.name), F.lit(0))
+        nested = nested or isinstance(field.dataType, (ArrayType, MapType, StructType))
     seen = Observation()
     written = settle(
         table.observe(
             seen,
             F.coalesce(F.sum(width), F.lit(0)).alias("size"),
-            F.coalesce(F.sum(weight), F.lit(0)).alias("total"),
+            F.coalesce(F.sum(weight or F.lit(0)), F.lit(0)).alias("total"),
         )
     )
-    return KeyTable(written, weight, int(seen.get["size"]), int(seen.get["total"]))
+    size = float("inf") if nested else seen.get["size"]
+    return KeyTable(written, weight, size, seen.get["total"])
 
 
 def lookup_join(
@@ -59,13 +63,13 @@ def lookup_join(
     keys: DataFrame | KeyTable,
     on: Sequence[str],
     spread: Sequence[str],
-    weight: str = "n_rows",
+    weight: str | None = "n_rows",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left join of many rows to a table with one row per key.
 
     ``weight`` is a column of the table: how many of ``rows`` have that key; it is
-    dropped. A table measured below ``broadcast_bytes`` is broadcast. Beyond that,
+    dropped. Without one, the rows are counted if need be. A table measured below ``broadcast_bytes`` is broadcast. Beyond that,
     rows are shuffled by key, and each key with at least 1/HOT_SHARE of all rows
     (so no more than HOT_SHARE keys) is split into SALTS parts by a hash of the
     ``spread`` columns. Rows with a null key have no partner and are split too.
@@ -73,13 +77,18 @@ def lookup_join(
     on = list(on)
     if not isinstance(keys, KeyTable):
         keys = key_table(keys, weight)
-    values = keys.table.drop(keys.weight)
+    values = keys.table.drop(keys.weight) if keys.weight else keys.table
     if keys.is_small(broadcast_bytes):
         return rows.join(F.broadcast(values), on, "left")
 
+    if keys.weight:
+        counts, n, total = keys.table, keys.weight, keys.total
+    else:
+        counts, n = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), "_n"
+        total = rows.count()
     # hot keys are known by a hash, 8 bytes each; a collision only splits a key more
     hot = F.broadcast(
-        keys.table.filter(F.col(keys.weight) * HOT_SHARE >= F.lit(keys.total))
+        counts.filter(F.col(n) * HOT_SHARE >= F.lit(total))
         .select(F.xxhash64(*on).alias("_key"), F.lit(True).alias("_hot"))
         .distinct()
     )

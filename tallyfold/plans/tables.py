@@ -19,6 +19,7 @@ VECTOR_CLASSES = 10
 QUALITY_CLASSES = 2
 BLOCKS = tuple(f"block{b}" for b in range(4))
 SEEDS = (0, 1, 2)
+SMALL_SCAN = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_out(df: DataFrame, key: str) -> DataFrame:
-    """Give work that is heavy per row at least one task per core. A table that is read
-    by enough tasks is left alone."""
+    """Give work that is heavy per row on a small table one task per core. A table that
+    is read by as many tasks, or by SMALL_SCAN, is left alone."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks, key) if df.rdd.getNumPartitions() < tasks else df
+    few = df.rdd.getNumPartitions() < min(tasks, SMALL_SCAN)
+    return df.repartition(tasks, key) if few else df
 
 
 def orders(spark: SparkSession, sf_dir: str, seed: str = "") -> DataFrame:
@@ -124,7 +126,7 @@ def _version(date: Column) -> Column:
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project, metric, version, logged_at, score: one entry per order."""
     version = _version(F.col("o_orderdate"))
-    return table(spark, sf_dir, "orders").select(
+    return spread_out(table(spark, sf_dir, "orders"), "o_orderkey").select(
         F.concat(F.lit("p"), F.col("o_custkey")).alias("project"),
         F.when(F.col("o_orderstatus") == "F", "local")
         .when(F.col("o_orderstatus") == "O", "platform")
@@ -201,7 +203,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project, path, flag: a result file per line item."""
-    return table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber"
+    )
+    return spread_out(rows, "l_orderkey").select(
         F.concat(F.lit("p"), F.col("l_suppkey")).alias("project"),
         F.concat(
             F.lit("results/"),

@@ -32,19 +32,27 @@ def parse_run_log(lines: DataFrame, line: str = "line") -> DataFrame:
     line with no time, version or metric gives nulls and an empty map.
     """
     text = F.col(line)
+    steps = lines.select(
+        "*",
+        F.regexp_extract(text, STAMP, 0).alias("_stamp"),
+        F.regexp_extract_all(text, F.lit(METRIC), F.lit(1)).alias("_names"),
+        F.regexp_extract_all(text, F.lit(METRIC), F.lit(2)).alias("_values"),
+    )
     row = text.startswith("|")
-    day = F.regexp_extract(text, STAMP, 1)
-    clock = F.regexp_extract(text, STAMP, 2)
+    body = F.substr(text, F.when(row, F.lit(2)).otherwise(F.length("_stamp") + 1))
+    steps = steps.withColumn("_body", body).withColumn(
+        "_version", F.regexp_extract("_body", NAME, 1)
+    )
+    day = F.regexp_extract("_stamp", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0)
+    clock = F.regexp_extract("_stamp", r" [0-9]{2}:[0-9]{2}:[0-9]{2}", 0)
     stamp = F.concat(day, F.when(clock == "", " 00:00:00").otherwise(clock))
-    body = F.when(row, F.regexp_replace(text, r"^\| *", "")).otherwise(
-        F.regexp_replace(text, STAMP, "")
+    before = F.substr(
+        F.col("_body"), F.lit(1), F.regexp_instr("_body", F.lit(NAME)) - 1
     )
-    version = F.regexp_extract(body, NAME, 1)
-    head = F.when(row, F.regexp_extract(body, r"^([^|]*)", 1)).otherwise(
-        F.regexp_extract(body, r"^(.*?)" + NAME, 1)
+    head = F.when(row, F.split_part("_body", F.lit("|"), F.lit(1))).when(
+        F.col("_version") != "", before
     )
-    names = F.regexp_extract_all(text, F.lit(METRIC), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(METRIC), F.lit(2))
+    names, values = F.col("_names"), F.col("_values")
     numbers = values.cast("array<double>")
     last = F.filter(
         F.arrays_zip(names.alias("k"), numbers.alias("v")),
@@ -53,11 +61,11 @@ def parse_run_log(lines: DataFrame, line: str = "line") -> DataFrame:
     metrics = F.when(
         F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, numbers)
     ).otherwise(F.map_from_entries(last))
-    return lines.select(
-        "*",
+    return steps.select(
+        *lines.columns,
         stamp.try_cast("timestamp_ntz").alias("ts"),
         _found(head).alias("project"),
-        _found(version).alias("version"),
+        _found(F.col("_version")).alias("version"),
         _found(F.regexp_extract(text, SELECTED, 1)).alias("selected"),
         metrics.alias("metrics"),
     )

@@ -1,15 +1,17 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators import folds
 
 
-def test_equal_content_is_in_one_fold(spark):
+@pytest.mark.parametrize("portable", [True, False])
+def test_equal_content_is_in_one_fold(spark, portable):
     df = spark.range(1000).withColumn("text", F.concat(F.lit("t"), F.col("id") % 90))
-    got = folds.assign_folds(df, 5, ["text"])
+    got = folds.assign_folds(df, 5, ["text"], portable=portable)
     per_text = got.groupBy("text").agg(F.countDistinct("fold").alias("n"))
     assert per_text.filter("n > 1").count() == 0
     assert got.select("fold").distinct().count() == 5
-    other = folds.assign_folds(df, 5, ["text"], seed="x")
+    other = folds.assign_folds(df, 5, ["text"], seed="x", portable=portable)
     assert other.exceptAll(got).count() > 0
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyfold.operators.skew import bucketed_rank, lookup_join, side_by_side
+from tallyfold.operators.skew import bucketed_rank, key_table, lookup_join, side_by_side
 
 
 def hot_rows(spark):
@@ -24,11 +24,24 @@ def test_lookup_join_is_whole_on_both_ways(spark):
     )
     want = rows.join(table.drop("n_rows"), "key", "left").select("id", "key", "top")
     for limit in (1 << 30, 0):
-        got = lookup_join(rows, table, ["key"], ["id"], broadcast_bytes=limit)
-        assert got.columns == ["key", "id", "top"]
-        got = got.select("id", "key", "top")
-        assert got.count() == 9000
-        assert got.exceptAll(want).count() == 0
+        for keys, weight in ((table, "n_rows"), (table.drop("n_rows"), None)):
+            got = lookup_join(rows, keys, ["key"], ["id"], weight, broadcast_bytes=limit)
+            assert got.columns == ["key", "id", "top"]
+            got = got.select("id", "key", "top")
+            assert got.count() == 9000
+            assert got.exceptAll(want).count() == 0
+
+
+def test_size_is_measured_on_the_way(spark):
+    table = spark.range(100).select(
+        F.repeat(F.lit("x"), 1000).alias("key"), F.col("id").alias("n_rows")
+    )
+    small = key_table(table)
+    assert small.total == sum(range(100))
+    assert 200_000 <= small.size <= 250_000
+    assert small.is_small(1 << 20) and not small.is_small(1 << 17)
+    nested = table.withColumn("a", F.array(F.lit(1)))
+    assert not key_table(nested).is_small(1 << 40)
 
 
 def test_hot_key_is_split(spark):
