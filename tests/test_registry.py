@@ -17,7 +17,7 @@ def entries(spark):
         ("text", "v1.7", "oof", 3, 0.7553),
         ("text", "v1.12", "oof", 4, 0.7543),
         ("text", "v3.7", "oof", 5, 0.70),
-        ("text", "v3.7_align", "oof", 6, 0.7083),
+        ("text", "v3.7_fix", "oof", 6, 0.7083),
         ("files", "v1.5", "platform", 0, 0.923),
         ("files", "v1.6", "platform", 1, 0.904),
         ("files", "v1.6", "local", 1, 0.9247),
@@ -30,17 +30,17 @@ def entries(spark):
 
 
 def test_versions_sort_by_number(spark):
-    names = ["v3.7_align", "v1.12", "original", "v1.7", "v1.2", "v3.7", "v2.0"]
+    names = ["v3.7_fix", "v1.12", "original", "v1.7", "v1.2", "v3.7", "v2.0"]
     df = spark.createDataFrame([(n,) for n in names], "v string")
     got = [r.v for r in df.orderBy(version_key(F.col("v"))).collect()]
-    assert got == ["original", "v1.2", "v1.7", "v1.12", "v2.0", "v3.7", "v3.7_align"]
+    assert got == ["original", "v1.2", "v1.7", "v1.12", "v2.0", "v3.7", "v3.7_fix"]
     odd = spark.createDataFrame([("v1",), ("1.2",), ("",), ("v99999999999.1",)], "v string")
     assert all(r.k is None for r in odd.select(version_key(F.col("v")).alias("k")).collect())
 
 
 def test_latest(spark):
     got = {r.project: r.version for r in registry.latest_version(entries(spark)).collect()}
-    assert got == {"text": "v3.7_align", "files": "v1.6"}
+    assert got == {"text": "v3.7_fix", "files": "v1.6"}
 
 
 def test_delta(spark):
@@ -52,8 +52,8 @@ def test_delta(spark):
     assert not got["oof", "original"].regression
     assert got["oof", "v1.7"].score == 0.7553  # the later entry
     assert got["oof", "v1.12"].delta_points == pytest.approx(-0.1)
-    assert got["oof", "v3.7_align"].delta_points == pytest.approx(0.83)
-    assert got["oof", "v3.7_align"].best_before == 0.7553
+    assert got["oof", "v3.7_fix"].delta_points == pytest.approx(0.83)
+    assert got["oof", "v3.7_fix"].best_before == 0.7553
 
 
 def test_delta_across_segments(spark):

@@ -11,7 +11,7 @@ LINES = [
     "- 2024-05-06：gate v1.1 done, score raised to `0.9225`。",
     "[2024-05-06 08:47:15] gate v1.1 smoke completed; selected=ensemble; macro_f1=0.158175, accuracy=0.220833, later.",
     "- 2024-05-07 17:08:27 mail v1.3; selected=fusion; oof_macro_f1=0.755433",
-    "| mail | v3.7_align passed 0.70831 | macro_f1=0.70831. | mail/log |",
+    "| mail | v3.7_fix passed 0.70831 | macro_f1=0.70831. | mail/log |",
     "- 2024-05-08：nothing to report",
     "free text",
     "- 2024-05-09 01:02:03 mail original; f1=0.1; f1=-0.2",
@@ -30,7 +30,7 @@ def test_run_log(spark, tmp_path):
     assert r[1].selected == "ensemble"
     assert (r[2].project, r[2].version, r[2].selected) == ("mail", "v1.3", "fusion")
     assert r[2].metrics == {"oof_macro_f1": 0.755433}
-    assert (r[3].project, r[3].version, r[3].ts) == ("mail", "v3.7_align", None)
+    assert (r[3].project, r[3].version, r[3].ts) == ("mail", "v3.7_fix", None)
     assert r[3].metrics == {"macro_f1": 0.70831}
     assert (r[4].project, r[4].version, r[4].metrics) == (None, None, {})
     assert (r[5].ts, r[5].project, r[5].selected) == (None, None, None)
