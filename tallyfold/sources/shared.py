@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -10,18 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below the folder that ``spark.checkpoint.dir`` names.
+    """A new path below the folder that ``spark.checkpoint.dir`` names, or else below the
+    warehouse. Never a folder of one machine's own: executors must see it as well.
 
-    A machine-local folder is used only where nothing is set and Spark itself runs
-    on this one machine.
+    All paths of a session lie in one folder, ``<base>/tallyfold/<application id>``, which
+    can be deleted once the session has ended.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     base = base or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tallyfold-")
-    return f"{base.rstrip('/')}/tallyfold/{uuid.uuid4().hex}"
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/tallyfold/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
