@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import quality
+from tallyfold.llm import decontamination, jaccard, mixing, quality, sharding
 from tallyfold.llm.common import table
 from tallyfold.sources.shared import settle
 
@@ -15,9 +15,34 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep(docs, quality.fit(docs, labels))
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the least id."""
+    return jaccard.keep_one(docs)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+
+
+def sharded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard."""
+    return sharding.with_shard(docs)
+
+
 STAGES = [
     ("quality classifier", good_documents),
+    ("n-gram Jaccard join", distinct_documents),
+    ("benchmark decontamination", clean_documents),
+    ("mixing sources to target weights", mixed_documents),
+    ("sharding", sharded_documents),
 ]
+#: The first stage fits a model, which SQL can't express.
 ORACLE_SQL = None
 
 

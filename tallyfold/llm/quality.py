@@ -211,11 +211,11 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 
 def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with their columns, whose text scores ``threshold`` at least."""
-    copy = "_quality_text"
-    while copy in docs.columns:
-        copy += "_"
-    scored = quality_scores(docs.withColumn(copy, F.col(text)), model, copy)
-    return scored.filter(scored["score"] >= threshold).select(*docs.columns)
+    rows = docs.select(
+        *[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col(text).alias("_text")
+    )
+    scored = quality_scores(rows, model, "_text").filter(F.col("score") >= threshold)
+    return scored.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def learnable(labels: DataFrame, key: str = "doc_id") -> DataFrame:
