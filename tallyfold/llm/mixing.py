@@ -8,6 +8,7 @@ Each step needs one pass that sums a number for each domain.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -63,7 +64,7 @@ def _features(text: Column) -> Column:
 
 def fit_words(docs: DataFrame, labelled: DataFrame, key: str, text: str, domains: Sequence[str],
               per_domain: int = DOCS_PER_DOMAIN, size: int = VOCABULARY) -> tuple[DataFrame, list[float]]:
-    """(word, and its weight for each domain), and the domains' log shares.
+    """(word, and its weight for each domain), and the domains' log odds without any word.
 
     Learnt from about ``per_domain`` labelled documents of each domain, whole, chosen by a
     hash of the key. The words that tell the domains apart beyond chance are kept (a
@@ -80,10 +81,11 @@ def fit_words(docs: DataFrame, labelled: DataFrame, key: str, text: str, domains
     )
     docs_of = rows.groupBy("domain").count().collect()
     n_docs = {r["domain"]: r["count"] for r in docs_of}
-    logs = [F.log((F.col(d) + 0.5) / F.lit(n_docs.get(d, 0) + 1.0)) for d in domains]
-    middle = reduce(lambda a, b: a + b, logs) / len(domains)
+    share = [(F.col(d) + 0.5) / F.lit(n_docs.get(d, 0) + 1.0) for d in domains]
+    lacks = [F.log(1 - s) for s in share]
     seen = reduce(lambda a, b: a + b, [F.col(d) for d in domains])
-    weights = [(log - middle).alias(f"w{i}") for i, log in enumerate(logs)]
+    weights = [(F.log(s) - lack).alias(f"w{i}") for i, (s, lack) in enumerate(zip(share, lacks))]
+    weights += [lack.alias(f"b{i}") for i, lack in enumerate(lacks)]
     expected = [seen * F.lit(n_docs.get(d, 0) / max(1, sum(n_docs.values()))) for d in domains]
     chi = reduce(
         lambda a, b: a + b,
@@ -96,25 +98,31 @@ def fit_words(docs: DataFrame, labelled: DataFrame, key: str, text: str, domains
         .limit(size)
         .drop("told")
     )
-    prior = [F.log(F.lit((counts.get(d, 0) + 1) / (total + len(domains)))) for d in domains]
-    return settle(words), prior
+    words = settle(words)
+    none = words.agg(*[F.coalesce(F.sum(f"b{i}"), F.lit(0.0)) for i in range(len(domains))]).first()
+    start = [
+        math.log((counts.get(d, 0) + 1) / (total + len(domains))) + lack for d, lack in zip(domains, none)
+    ]
+    return words.select("word", *[f"w{i}" for i in range(len(domains))]), start
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text",
                domains: Sequence[str] = DOMAINS) -> DataFrame:
     """key, text_key, n_rows, n_tokens and p0, p1, ... for each distinct (key, text).
 
-    The weights of a document's known words are added to the domains' log shares. A document
-    without known words has the domains' shares.
+    Each word of the model counts, by its presence or absence (Bernoulli): the weights of
+    those a document has are added to the log odds of a document that has none.
     """
-    words, prior = fit_words(docs, labelled, key, text, domains)
+    words, start = fit_words(docs, labelled, key, text, domains)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
+    # first one row for each document: what stands beside an explode is made for each word
+    whole = docs.select(
         F.col(key).alias("key"),
         F.xxhash64(text).alias("text_key"),
         F.size(_words(body)).cast("bigint").alias("n_tokens"),
-        F.posexplode(_features(body)).alias("pos", "word"),
+        _features(body).alias("features"),
     )
+    rows = whole.select("key", "text_key", "n_tokens", F.posexplode("features").alias("pos", "word"))
     names = [f"w{i}" for i in range(len(domains))]
     summed = (
         rows.join(F.broadcast(words), "word", "left")
@@ -124,7 +132,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text:
             *[F.coalesce(F.sum(w), F.lit(0.0)).alias(w) for w in names],
         )
     )
-    logits = [p + F.col(w) / F.col("n_rows") for p, w in zip(prior, names)]
+    logits = [F.lit(s) + F.col(w) / F.col("n_rows") for s, w in zip(start, names)]
     most = F.greatest(*logits) if len(logits) > 1 else logits[0]
     odds = summed.select(
         "key", "text_key", "n_rows", "n_tokens", *[F.exp(x - most).alias(f"o{i}") for i, x in enumerate(logits)]
