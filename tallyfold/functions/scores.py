@@ -67,11 +67,11 @@ def decide(p: Column, threshold: float) -> Column:
 def gated_decide(
     p_label: Column, class_probs: Column, threshold: float, n_classes: int
 ) -> Column:
-    """0 below the label threshold, else the best class among 1 .. n_classes-1."""
+    """0 below the label threshold, the best class among 1 .. n_classes-1 from it on, null
+    where the label's probability is null or NaN."""
     inner = F.slice(class_probs, 2, n_classes - 1)
-    return F.when(
-        quantise(p_label) < F.lit(quantised(threshold)), F.lit(0)
-    ).otherwise(argmax_class(inner, n_classes - 1) + 1)
+    q, edge = quantise(p_label), F.lit(quantised(threshold))
+    return F.when(q < edge, F.lit(0)).when(q >= edge, argmax_class(inner, n_classes - 1) + 1)
 
 
 def softmax(scores: Sequence[Column]) -> list[Column]:

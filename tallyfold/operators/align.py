@@ -81,27 +81,44 @@ def compare_features(
 ) -> DataFrame:
     """(column, status, n_rows, n_mismatch, mismatch_rate, max_abs_diff) per feature.
 
-    Status is only_a, only_b, type, or same; a type change of a numeric column is
-    still compared by value. Rows are matched on the id; ids that only one side has
-    are not counted. One wide grouped pass, no row per (id, column).
+    Status is only_a, only_b, type, or same. Columns of one type are compared in it:
+    fractions within ``tol``, anything else exactly (equal longs stay equal, texts are
+    compared as texts). After a type change both sides are compared as numbers where both
+    can be read as such; a value that can't be differs from one that can. Rows are matched
+    on the id; ids that only one side has are not counted. Columns of nested types are
+    compared by their JSON. One wide grouped pass, no row per (id, column).
     """
     types_t = {c: t for c, t in teacher.dtypes if c != on}
     types_s = {c: t for c, t in student.dtypes if c != on}
     names = [*types_t, *[c for c in types_s if c not in types_t]]
     shared = [c for c in names if c in types_t and c in types_s]
+    retyped = {c for c in shared if types_t[c] != types_s[c]}
+
+    def value(c: str, kind: str) -> Column:
+        if kind.startswith(("array", "map", "struct")):
+            return F.to_json(F.struct(F.col(c).alias("v")))
+        return F.col(c).try_cast("double") if c in retyped else F.col(c)
+
     pairs = side_by_side(
         teacher,
         student,
         [on],
-        {f"t_{c}": F.col(c).cast("double") for c in shared},
-        {f"s_{c}": F.col(c).cast("double") for c in shared},
+        {f"t_{c}": value(c, types_t[c]) for c in shared},
+        {f"s_{c}": value(c, types_s[c]) for c in shared},
+        unique=True,
     ).filter((F.col("n_a") > 0) & (F.col("n_b") > 0))
 
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(shared):
         t, s = F.col(f"t_{c}"), F.col(f"s_{c}")
-        gap = F.abs(t - s)
-        differs = F.coalesce(gap > tol, t.isNull() != s.isNull())
+        kind = types_t[c]
+        number = kind.startswith(("decimal", "tinyint", "smallint", "int", "bigint"))
+        fraction = c in retyped or kind in ("double", "float")
+        gap = F.abs(t.cast("double") - s.cast("double")) if number or fraction else F.lit(None).cast("double")
+        if fraction:
+            differs = F.coalesce(gap > tol, t.isNull() != s.isNull())
+        else:
+            differs = ~t.eqNullSafe(s)
         aggs.append(F.sum(differs.cast("bigint")).alias(f"m{i}"))
         aggs.append(F.max(gap).alias(f"d{i}"))
     null = F.lit(None)

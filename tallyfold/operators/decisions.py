@@ -92,8 +92,8 @@ def pseudo_label(
     """(id, y_hat, confidence) of the rows sure enough to be used as labels.
 
     ``per_class_cap`` keeps the surest rows of each class: by confidence in whole
-    thousandths, then by md5 of the id. The rank is exact, and is made in up to
-    256,000 parts per class even if many rows share one confidence.
+    thousandths, then by md5 of the id. The rank is exact, and each thousandth of a class
+    is ranked in 65,536 parts, so a confidence that most rows share is split as well.
     """
     sure = with_confidence(scores, n_classes).filter(
         quantise(F.col("confidence")) >= F.lit(quantised(threshold))
@@ -107,7 +107,7 @@ def pseudo_label(
     ranked = bucketed_rank(
         keyed,
         ["y_hat"],
-        [F.col("_step"), F.substring("_m", 1, 2)],
+        [F.col("_step"), F.substring("_m", 1, 4)],
         [F.col("_m"), F.col(id_col)],
         "_rank",
     )

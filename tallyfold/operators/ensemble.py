@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.scores import SCORE_SCALE, quantise
 from tallyfold.operators.metrics import macro_f1, with_f1
-from tallyfold.sources.shared import small_table
+from tallyfold.sources.shared import settle, small_table
 
 MAX_WEIGHTS = 20_000
 MAX_MODELS = 10_000
@@ -85,27 +85,32 @@ def wide_scores(
     id_col: str = "id",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per id, one array column per candidate. An id that lacks one fails."""
+    """One row per id, one array column per candidate. An id that lacks one fails, and so
+    does one that has several rows of a candidate (of several seeds or views): average
+    them first."""
     wide = scores.groupBy(id_col).agg(
         *[F.max(c).alias(c) for c in keep],
         *[
             F.max(F.when(F.col("candidate") == c, F.col("probs"))).alias(c)
             for c in candidates
         ],
+        *[F.count_if(F.col("candidate") == c).alias(f"_n_{c}") for c in candidates],
     )
     return wide.select(
         id_col,
         *keep,
         *[
-            F.coalesce(
-                F.col(c),
+            F.when((F.col(f"_n_{c}") == 1) & F.col(c).isNotNull(), F.col(c))
+            .otherwise(
                 F.raise_error(
                     F.concat(
-                        F.lit(f"no scores of candidate {c} for id "),
-                        F.col(id_col).cast("string"),
+                        F.when(F.col(f"_n_{c}") > 1, "several").otherwise("no"),
+                        F.lit(f" scores of candidate {c} for id "),
+                        F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
                     )
-                ).cast("array<double>"),
-            ).alias(c)
+                ).cast("array<double>")
+            )
+            .alias(c)
             for c in candidates
         ],
     )
@@ -146,8 +151,9 @@ def search_weights(
     """(w_index, macro_f1) of every weight over the closed classes 0 .. n_classes-1.
 
     A grid of weights on every row is too much to spell out as rows: each task mixes
-    its batches with numpy and hands on only hits and predictions per weight and
-    class, so the shuffle does not grow with the data.
+    its batches with numpy and hands on hits and predictions per weight and class, where
+    there are any; tasks without rows hand on nothing. The shuffle grows with the tasks
+    that have rows, by weights x classes rows each at most, not with the rows.
     """
     grid = np.array([list(w) for w in weights], dtype="float64")
     n_weights, k = len(grid), n_classes
@@ -178,25 +184,34 @@ def search_weights(
                 tp += np.bincount(cell[best == t[:, None]], minlength=n_weights * k)
                 inside = t[(t >= 0) & (t < k)]
                 n_true += np.bincount(inside, minlength=k)
-        yield pd.DataFrame(
-            {
-                "w_index": np.repeat(np.arange(n_weights, dtype="int64"), k),
-                "class": np.tile(np.arange(k, dtype="int64"), n_weights),
-                "tp": tp,
-                "n_true": np.tile(n_true, n_weights),
-                "n_pred": n_pred,
-            }
-        )
+        cell = np.arange(n_weights * k, dtype="int64")
+        made = pd.DataFrame({"w_index": cell // k, "class": cell % k, "tp": tp, "n_pred": n_pred})
+        # what is true doesn't depend on the weight: told once, under weight -1
+        true = pd.DataFrame({"w_index": -1, "class": np.arange(k), "tp": 0, "n_pred": n_true})
+        yield pd.concat([made[made["n_pred"] > 0], true[true["n_pred"] > 0]])
 
     labelled = wide.filter(F.col(y).isNotNull()).select(
         F.col(y).cast("bigint").alias("_y"), *names
     )
-    cells = labelled.mapInPandas(
-        count, "w_index bigint, class bigint, tp bigint, n_true bigint, n_pred bigint"
+    cells = (
+        labelled.mapInPandas(count, "w_index bigint, class bigint, tp bigint, n_pred bigint")
+        .groupBy("w_index", "class")
+        .agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"))
+    )
+    cells = settle(cells)
+    # one row per class, and the grid
+    true = cells.filter("w_index = -1").select("class", F.col("n_pred").alias("n_true"))
+    grid_rows = wide.sparkSession.range(n_weights).withColumnRenamed("id", "w_index")
+    every = grid_rows.withColumn(
+        "class", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
     )
     per_class = with_f1(
-        cells.groupBy("w_index", "class").agg(
-            *[F.sum(c).alias(c) for c in ("tp", "n_true", "n_pred")]
+        every.join(cells, ["w_index", "class"], "left")
+        .join(F.broadcast(true), "class", "left")
+        .select(
+            "w_index",
+            "class",
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "n_true", "n_pred")],
         )
     )
     return per_class.groupBy("w_index").agg((F.sum("f1") / k).alias("macro_f1"))

@@ -67,11 +67,14 @@ def oof(
     fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
     fold: str = "fold",
 ) -> DataFrame:
-    """Out-of-fold scores: k fits, each scoring the fold it has not seen."""
+    """Out-of-fold scores: k fits, each scoring the fold it has not seen. A row with a null
+    fold, or one outside 0 .. k-1, is an error, raised when rows are read."""
+    wrong = F.raise_error(F.lit(f"folds must be 0 .. {k - 1}")).cast("int")
+    sound = df.withColumn(fold, F.when(F.col(fold).between(0, k - 1), F.col(fold)).otherwise(wrong))
 
     def one(f: int) -> DataFrame:
-        scorer = fit(df.filter(F.col(fold) != f))
-        return scorer(df.filter(F.col(fold) == f))
+        scorer = fit(sound.filter(F.col(fold) != f))
+        return scorer(sound.filter(F.col(fold) == f))
 
     return reduce(DataFrame.unionByName, [one(f) for f in range(k)])
 
@@ -91,12 +94,26 @@ def oof_score(
 def smoke_sample(df: DataFrame, per_class: int, y: str, id_col: str) -> DataFrame:
     """The first ``per_class`` rows of every class by md5 of the id.
 
-    Spark cuts each task's share down to ``per_class`` rows before the shuffle as
-    long as ``spark.sql.optimizer.windowGroupLimitThreshold`` allows that number.
+    The rows of a class are counted in 65,536 parts by the md5; only the parts that hold the
+    first rows are ranked, each part for itself. No task gets a class.
     """
-    order = Window.partitionBy(y).orderBy(F.md5(F.col(id_col).cast("string")), id_col)
+    cut = df.withColumn("_m", F.md5(F.col(id_col).cast("string"))).withColumn(
+        "_part", F.coalesce(F.substring("_m", 1, 4), F.lit(""))
+    )
+    before = (
+        Window.partitionBy(y).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    parts = (
+        cut.groupBy(y, "_part")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .filter(F.col("_before") < per_class)
+        .select(F.col(y).alias("_y"), F.col("_part").alias("_p"), "_before")
+    )
+    inside = Window.partitionBy(y, "_part").orderBy("_m", id_col)
+    kept = cut.join(parts, F.col(y).eqNullSafe(F.col("_y")) & (F.col("_part") == F.col("_p")))
     return (
-        df.withColumn("_rank", F.row_number().over(order))
+        kept.withColumn("_rank", F.row_number().over(inside) + F.col("_before"))
         .filter(F.col("_rank") <= per_class)
-        .drop("_rank")
+        .select(*df.columns)
     )

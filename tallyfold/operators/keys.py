@@ -13,11 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.functions.scores import argmax_of
+from tallyfold.functions.scores import UNROLL_LIMIT, argmax_of
 from tallyfold.operators.skew import key_table, lookup_join
 
 NO_FOLD = -1
-MAX_CLASSES = 256
 MAX_FOLDS = 1024
 WIDE_COLUMNS = 64
 
@@ -48,8 +47,6 @@ def fold_counts(
     then brought together per key: side by side with few folds and classes, by a
     window over the key's folds with many.
     """
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"{len(classes)} classes, at most {MAX_CLASSES} are supported")
     if not 0 < n_folds <= MAX_FOLDS:
         raise ValueError(f"{n_folds} folds, at most {MAX_FOLDS} are supported")
     k = range(len(classes))
@@ -112,13 +109,27 @@ def prior_counts(counts: DataFrame, n_classes: int) -> DataFrame:
     )
 
 
-def _usable(n_classes: int) -> tuple[list[Column], Column, list[Column]]:
-    """(the key's counts, their sum, counts to decide by: the key's or else the prior's)."""
-    left = [F.coalesce(F.col(f"l{i}"), F.lit(0)) for i in range(n_classes)]
-    n = sum(left[1:], left[0])
-    return left, n, [
-        F.when(n > 0, c).otherwise(F.col(f"p{i}")) for i, c in enumerate(left)
-    ]
+def _sum(columns: Sequence[Column]) -> Column:
+    return sum(columns[1:], columns[0])
+
+
+def _usable(joined: DataFrame, n_classes: int) -> DataFrame:
+    """Add _left, the key's counts; _n, their sum; _use, the counts to decide by: the key's
+    or else the prior's; _total, their sum; _best, the class they name. Each in a step of its
+    own, so that no expression holds another one once for every class."""
+    k = range(n_classes)
+    left = joined.withColumn("_left", F.array(*[F.coalesce(F.col(f"l{i}"), F.lit(0)) for i in k]))
+    left = left.withColumn("_n", _sum([F.coalesce(F.col(f"l{i}"), F.lit(0)) for i in k]))
+    prior = F.array(*[F.col(f"p{i}") for i in k])
+    use = left.withColumn("_use", F.when(F.col("_n") > 0, F.col("_left")).otherwise(prior))
+    if n_classes <= UNROLL_LIMIT:
+        best = argmax_of([F.get("_use", F.lit(i)) for i in k], exact=True)
+    else:
+        ranked = F.transform("_use", lambda n, i: F.struct(n.alias("q"), (-i).alias("k")))
+        top = F.array_max(ranked)
+        best = F.when(top["q"].isNotNull(), -top["k"])
+    total = F.when(F.col("_n") > 0, F.col("_n")).otherwise(_sum([F.col(f"p{i}") for i in k]))
+    return use.withColumn("_total", total).withColumn("_best", best)
 
 
 def _labelled(index: Column, classes: Sequence) -> Column:
@@ -160,17 +171,15 @@ def exact_key_features(
     """
     k = len(classes)
     joined = _looked_up(df, key, y, fold, classes, spread, n_folds)
-    left, n, use = _usable(k)
-    total = sum(use[1:], use[0])
-    top = use[1] if k == 2 else F.greatest(*use)
-    distinct = sum([(c > 0).cast("int") for c in left[1:]], (left[0] > 0).cast("int"))
-    return joined.select(
+    total = F.col("_total")
+    top = F.get("_use", F.lit(1)) if k == 2 else F.array_max("_use")
+    return _usable(joined, k).select(
         *[F.col(c) for c in df.columns],
-        F.log1p(n.cast("double")).alias("key_log_n"),
+        F.log1p(F.col("_n").cast("double")).alias("key_log_n"),
         F.when(total > 0, top / total).alias("key_share"),
-        distinct.alias("key_n_classes"),
-        _labelled(argmax_of(use, exact=True), classes).alias("key_majority"),
-        (n == 0).cast("int").alias("key_unseen"),
+        F.size(F.filter("_left", lambda n: n > 0)).alias("key_n_classes"),
+        _labelled(F.col("_best"), classes).alias("key_majority"),
+        (F.col("_n") == 0).cast("int").alias("key_unseen"),
     )
 
 
@@ -185,12 +194,11 @@ def lookup_candidate(
 ) -> DataFrame:
     """Predict by the row's key: adds ``probs`` (share of each class) and ``y_hat``."""
     joined = _looked_up(df, key, y, fold, classes, spread, n_folds)
-    _, _, use = _usable(len(classes))
-    total = sum(use[1:], use[0])
-    return joined.select(
+    total = F.col("_total")
+    return _usable(joined, len(classes)).select(
         *[F.col(c) for c in df.columns],
-        F.when(total > 0, F.array(*[c / total for c in use])).alias("probs"),
-        _labelled(argmax_of(use, exact=True), classes).alias("y_hat"),
+        F.when(total > 0, F.transform("_use", lambda n: n / total)).alias("probs"),
+        _labelled(F.col("_best"), classes).alias("y_hat"),
     )
 
 
@@ -201,16 +209,20 @@ def lookup_confusion(
 
     All rows of a (key, fold) get one prediction, so the counts per (key, fold)
     already say how often each true class meets it. Only these counts are shuffled.
-    Every true class must be in ``classes``.
+    A true class that isn't in ``classes`` is an error, raised when its rows are counted.
     """
     k = len(classes)
     counts = fold_counts(
         df.filter(F.col(y).isNotNull()), key, y, fold, classes, n_folds
     )
     joined = counts.join(F.broadcast(prior_counts(counts, k)), "_fold", "left")
-    _, _, use = _usable(k)
-    by_pred = joined.groupBy(argmax_of(use, exact=True).alias("_p")).agg(
-        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]
+    listed = _sum([F.col(f"n{i}") for i in range(k)])
+    unlisted = F.raise_error(F.lit("a true class is not among the classes")).cast("int")
+    sound = joined.withColumn("_best_of", F.when(F.col("n_rows") == listed, F.lit(0)).otherwise(unlisted))
+    by_pred = (
+        _usable(sound, k)
+        .groupBy((F.col("_best") + F.col("_best_of")).alias("_p"))
+        .agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)])
     )
     cells = F.array(
         *[

@@ -47,6 +47,7 @@ def reconcile(a: DataFrame, b: DataFrame, sha: str | None = None) -> DataFrame:
         ["path"],
         {"length_a": F.col("length"), **{f"{c}_a": F.col(c) for c in with_hash}},
         {"length_b": F.col("length"), **{f"{c}_b": F.col(c) for c in with_hash}},
+        unique=True,
     )
     equal = F.col("length_a") == F.col("length_b")
     for c in with_hash:

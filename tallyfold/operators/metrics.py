@@ -172,9 +172,10 @@ def class_delta(a: DataFrame, b: DataFrame, y_hat: str = "y_hat") -> DataFrame:
 def flip_matrix(
     a: DataFrame, b: DataFrame, on: str = "id", y_hat: str = "y_hat"
 ) -> DataFrame:
-    """(old, new, n): how the ids found in both submissions changed class."""
+    """(old, new, n): how the ids found in both submissions changed class. Rows without an
+    id are in neither; an id that one submission has twice is an error."""
     both = side_by_side(
-        a, b, [on], {"old": F.col(y_hat)}, {"new": F.col(y_hat)}
+        a, b, [on], {"old": F.col(y_hat)}, {"new": F.col(y_hat)}, unique=True
     ).filter((F.col("n_a") > 0) & (F.col("n_b") > 0))
     return both.groupBy("old", "new").agg(F.count(F.lit(1)).alias("n"))
 

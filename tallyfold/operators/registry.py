@@ -25,9 +25,9 @@ SEGMENT = 64
 
 
 def latest_version(registry: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """(project, version, carry..) of the highest version. Unreadable names are
-    ignored. A grouped maximum, so a project with very many rows is reduced before
-    the shuffle."""
+    """(project, version, carry..) of the highest version. Unreadable names don't take
+    part; ``unreadable_versions`` lists them. A grouped maximum, so a project with very many
+    rows is reduced before the shuffle."""
     key = version_key(F.col("version"))
     top = F.max(F.struct(key.alias("key"), F.col("version"), *carry)).alias("top")
     return (
@@ -38,6 +38,15 @@ def latest_version(registry: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def unreadable_versions(registry: DataFrame) -> DataFrame:
+    """(project, version, n) of the names that are no version, nulls too."""
+    return (
+        registry.filter(version_key(F.col("version")).isNull())
+        .groupBy("project", "version")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def version_delta(registry: DataFrame) -> DataFrame:
     """(project, metric, version, score, delta_points, best_before, regression).
 
@@ -98,8 +107,13 @@ def version_delta(registry: DataFrame) -> DataFrame:
 
 
 def score_gap(registry: DataFrame, local: str, platform: str) -> DataFrame:
-    """(project, version, local_score, platform_score, gap_points) where both exist."""
-    of = lambda m: F.max(F.when(F.col("metric") == m, F.col("score")))
+    """(project, version, local_score, platform_score, gap_points) where both exist. Of an
+    entry logged twice the last counts, the higher score if the times are equal."""
+
+    def of(m):
+        last = F.max(F.when(F.col("metric") == m, F.struct("logged_at", "score")))
+        return last["score"]
+
     both = (
         registry.filter(F.col("metric").isin(local, platform))
         .groupBy("project", "version")

@@ -24,7 +24,7 @@ from tallyfold.functions.text import tokens
 from tallyfold.operators.folds import oof
 from tallyfold.operators.keys import MAX_FOLDS, NO_FOLD, fold_counts, own_fold, prior_counts
 from tallyfold.operators.skew import BROADCAST_BYTES, key_table, lookup_join
-from tallyfold.sources.shared import settle
+from tallyfold.sources.shared import settle, shared_folder
 
 MAX_MODEL_VALUES = 20_000_000
 
@@ -225,7 +225,11 @@ def fit_scorer(
     )
     if kind == "mlp" and n_features is None:
         n_features = rows.first()["features"].size
-    return Pipeline(stages=[_estimator(kind, n_classes, n_features or 0, seed)]).fit(rows)
+    fitted = Pipeline(stages=[_estimator(kind, n_classes, n_features or 0, seed)]).fit(rows)
+    # a fitted model holds its training summary, and so the session; a stored one doesn't
+    path = shared_folder(df.sparkSession)
+    fitted.save(path)
+    return PipelineModel.load(path)
 
 
 def score_with(

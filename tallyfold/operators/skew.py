@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
@@ -18,7 +18,7 @@ SALTS = 64
 
 @dataclass(frozen=True)
 class KeyTable:
-    """A written table with one row per key, and what was measured while writing it:
+    """A written table with one row per key, and what was measured of it:
     an upper estimate of the bytes a broadcast takes, and the rows it stands for."""
 
     table: DataFrame
@@ -38,7 +38,7 @@ class KeyTable:
 
 
 def key_table(table: DataFrame, weight: str | None = "n_rows") -> KeyTable:
-    """Write the table and measure it on the way. Arrays, maps and structs are not
+    """Write the table and measure what was written. Arrays, maps and structs are not
     measured; a table that has any is never taken for small."""
     width = F.lit(16 * len(table.columns) + 64)
     nested = False
@@ -46,16 +46,12 @@ def key_table(table: DataFrame, weight: str | None = "n_rows") -> KeyTable:
         if isinstance(field.dataType, (StringType, BinaryType)):
             width = width + 2 * F.coalesce(F.octet_length(field.name), F.lit(0))
         nested = nested or isinstance(field.dataType, (ArrayType, MapType, StructType))
-    seen = Observation()
-    written = settle(
-        table.observe(
-            seen,
-            F.coalesce(F.sum(width), F.lit(0)).alias("size"),
-            F.coalesce(F.sum(weight or F.lit(0)), F.lit(0)).alias("total"),
-        )
-    )
-    size = float("inf") if nested else seen.get["size"]
-    return KeyTable(written, weight, size, seen.get["total"])
+    written = settle(table)
+    seen = written.agg(
+        F.coalesce(F.sum(width), F.lit(0)).alias("size"),
+        F.coalesce(F.sum(weight or F.lit(0)), F.lit(0)).alias("total"),
+    ).first()
+    return KeyTable(written, weight, float("inf") if nested else seen["size"], seen["total"])
 
 
 def lookup_join(
@@ -120,12 +116,14 @@ def side_by_side(
     on: Sequence[str],
     from_a: Mapping[str, Column],
     from_b: Mapping[str, Column],
+    unique: bool = False,
 ) -> DataFrame:
     """Full outer match of two tables with one row per key, by one grouped pass.
 
-    Adds ``n_a`` and ``n_b``, the rows each side had. A key that is repeated by
-    mistake is collapsed before the shuffle instead of multiplying; of its values
-    the largest is kept.
+    Adds ``n_a`` and ``n_b``, the rows each side had. A repeated key is collapsed before
+    the shuffle instead of multiplying, and of its values the largest is kept. With
+    ``unique`` it is an error, raised when the row is read, since which of its rows counts
+    can't be known; and rows with a null key, which match nothing, are left out.
     """
     on = list(on)
     types_a = dict(a.select(*[c.alias(n) for n, c in from_a.items()]).dtypes)
@@ -144,11 +142,19 @@ def side_by_side(
     both = tagged(a, 1, 0, from_a, types_b).unionByName(
         tagged(b, 0, 1, from_b, types_a)
     )
-    return both.groupBy(*on).agg(
+    if unique:
+        both = both.dropna("any", subset=on)
+    matched = both.groupBy(*on).agg(
         F.sum("n_a").alias("n_a"),
         F.sum("n_b").alias("n_b"),
         *[F.max(n).alias(n) for n in names],
     )
+    if not unique:
+        return matched
+    shown = F.concat_ws(", ", *[F.col(c).cast("string") for c in on])
+    repeated = F.raise_error(F.concat(F.lit("repeated id "), shown)).cast("bigint")
+    once = (F.col("n_a") <= 1) & (F.col("n_b") <= 1)
+    return matched.withColumn("n_a", F.when(once, F.col("n_a")).otherwise(repeated))
 
 
 def bucketed_rank(

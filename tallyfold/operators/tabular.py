@@ -13,25 +13,22 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-MAX_CATEGORIES = 1_000
-
 
 def fit_tabular(
-    df: DataFrame, num: Sequence[str], cat: Sequence[str], hashed_dims: int = 1 << 12
+    df: DataFrame,
+    num: Sequence[str],
+    cat: Sequence[str],
+    hashed: Sequence[str] = (),
+    hashed_dims: int = 1 << 12,
 ) -> PipelineModel:
-    """Pipeline that adds ``features``: scaled numbers, then one-hot categories in
-    order of frequency.
+    """Pipeline that adds ``features``: scaled numbers, then one-hot categories in order of
+    frequency, then the columns named in ``hashed``, hashed together into ``hashed_dims``.
 
-    StringIndexer brings its categories to the driver, so a column measured above
-    MAX_CATEGORIES is hashed instead.
+    The encoding is the caller's choice and never the data's: the same call gives the same
+    kind of features at any size. One-hot columns bring their categories to the driver, so
+    name a column with very many of them in ``hashed`` and not in ``cat``.
     """
-    sizes = df.agg(
-        *[F.approx_count_distinct(c).alias(c) for c in cat] or [F.lit(0).alias("_")]
-    ).first()
-    small = [c for c in cat if sizes[c] <= MAX_CATEGORIES]
-    large = [c for c in cat if sizes[c] > MAX_CATEGORIES]
+    small, large = list(cat), list(hashed)
     stages, parts = [], []
     if num:
         stages += [
@@ -62,7 +59,9 @@ def fit_tabular(
     return Pipeline(stages=stages).fit(df)
 
 
-def tabular_vector(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> DataFrame:
+def tabular_vector(
+    df: DataFrame, num: Sequence[str], cat: Sequence[str], hashed: Sequence[str] = ()
+) -> DataFrame:
     """Fit on ``df`` and add ``features`` to it."""
-    made = fit_tabular(df, num, cat).transform(df)
+    made = fit_tabular(df, num, cat, hashed).transform(df)
     return made.select(*df.columns, "features")

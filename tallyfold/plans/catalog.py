@@ -29,11 +29,13 @@ from tallyfold.operators import (
 )
 from tallyfold.plans import selection
 from tallyfold.plans import tables as t
+from tallyfold.sources import files as trees
 from tallyfold.sources import run_log
 from tallyfold.sources import submission as files
 from tallyfold.sources.shared import settle, shared_folder
 
 K = t.VECTOR_CLASSES
+BANDS = (0.112, 0.12)
 GRID = (0.05, 0.08, 0.1, 0.2, 0.3, 0.32, 0.33, 0.34, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
@@ -81,6 +83,12 @@ def weighted_f1(spark, sf):
     return out.select("n_rows", r6("weighted_f1"))
 
 
+def many_class_confusion(spark, sf):
+    return keys.lookup_confusion(
+        t.many_classes(spark, sf), "key", "y", "fold", list(range(t.MANY)), t.FOLDS
+    )
+
+
 def class_delta(spark, sf):
     return metrics.class_delta(
         t.order_predictions(spark, sf, "coarse"), t.order_predictions(spark, sf, "key")
@@ -290,7 +298,7 @@ def _block_scores(spark, sf, seeds=t.SEEDS) -> DataFrame:
 
 
 def _wide(spark, sf) -> DataFrame:
-    scores = _block_scores(spark, sf, seeds=(0,))
+    scores = _block_scores(spark, sf, seeds=(t.WHOLE,))
     return ensemble.wide_scores(scores, t.BLOCKS, keep=["y"])
 
 
@@ -318,34 +326,44 @@ def _naive_bayes(spark, sf) -> DataFrame:
     )
 
 
+def _score_check(scored: DataFrame, learns: Column) -> DataFrame:
+    """One row for each candidate: how many rows and ids were scored, how many scores are
+    missing or don't add up to 1, and whether the model has learnt anything."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    return scored.groupBy("candidate").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.countDistinct("id").alias("n_ids"),
+        F.count_if(F.col("probs").isNull() | F.exists("probs", lambda p: p.isNull() | F.isnan(p))).alias("n_null"),
+        F.count_if(F.abs(total - 1) > 1e-6).alias("n_bad_sum"),
+        learns.alias("learns"),
+    )
+
+
+def _accuracy(n_classes: int) -> Column:
+    hit = argmax_class(F.col("probs"), n_classes).eqNullSafe(F.col("y"))
+    return F.avg(F.when(F.col("y").isNotNull(), hit.cast("double")))
+
+
 def ml_scores(spark, sf):
-    rows = folds.assign_folds(t.vectors(spark, sf).drop("fold"), 2, ["id"])
-    rows = settle(rows).withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
+    rows = settle(folds.assign_folds(t.halves(spark, sf), 2, ["id"]))
+    rows = rows.withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
     parts = [
-        scorers.ml_oof_scores(rows, kind, 2, K, n_features=64)
-        for kind in ("logistic", "forest", "mlp")
+        scorers.ml_oof_scores(rows, kind, 2, 2, n_features=64)
+        for kind in ("logistic", "forest", "mlp", "boosting")
     ]
-    scored = reduce(DataFrame.unionByName, parts)
-    return scored.select(
-        "id",
-        "candidate",
-        "fold",
-        "y",
-        argmax_class(F.col("probs"), K).alias("y_hat"),
-        r6(max_prob(F.col("probs")), "confidence"),
-    )
+    return _score_check(reduce(DataFrame.unionByName, parts), _accuracy(2) > 0.6)
 
 
 def text_ml_scores(spark, sf):
     rows = folds.assign_folds(t.labelled_texts(spark, sf).drop("fold"), 2, ["text"])
     hashed = text_features.hashed_tokens(rows, dims=1 << 12).select("id", "y", "fold", "features")
     scored = scorers.ml_oof_scores(settle(hashed), "logistic", 2, t.QUALITY_CLASSES)
-    return scored.select(
-        F.col("id").alias("doc_id"), "fold", "y", r6(F.col("probs")[1], "p1")
-    )
+    p1 = F.get("probs", F.lit(1))
+    return _score_check(scored, F.max(p1) - F.min(p1) > 0.01)
 
 
 def tabular_ml_scores(spark, sf):
+    """Scaler, categories and model are all fitted without the fold that is scored."""
     rows = t.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"),
         "o_custkey",
@@ -356,13 +374,20 @@ def tabular_ml_scores(spark, sf):
         "o_orderpriority",
         F.month("o_orderdate").alias("o_month"),
     )
-    rows = folds.assign_folds(rows, 2, ["o_custkey"])
-    made = tabular.tabular_vector(rows, ["o_totalprice", "o_month"], ["o_orderpriority"])
-    made = settle(made.select("id", "y", "fold", "features"))
-    scored = scorers.ml_oof_scores(made, "logistic", 2, len(t.STATUSES))
-    return scored.select(
-        "id", "fold", "y", argmax_class(F.col("probs"), len(t.STATUSES)).alias("y_hat")
-    )
+    rows = settle(folds.assign_folds(rows, 2, ["o_custkey"]))
+
+    def fit(train):
+        made = tabular.fit_tabular(train, ["o_totalprice", "o_month"], ["o_orderpriority"])
+        model = scorers.fit_scorer(made.transform(train), "logistic", len(t.STATUSES))
+
+        def score(test):
+            return scorers.score_with(
+                model, made.transform(test), len(t.STATUSES), candidate="logistic", keep=["id", "y"]
+            )
+
+        return score
+
+    return _score_check(folds.oof(rows, 2, fit), _accuracy(len(t.STATUSES)).isNotNull())
 
 
 def model_reload_same_scores(spark, sf):
@@ -399,8 +424,12 @@ def seed_ensemble(spark, sf):
 
 
 def metric_by_seed(spark, sf):
-    rows = _block_scores(spark, sf).filter(F.col("candidate") == "block0")
-    pred = rows.withColumn("y_hat", argmax_class(F.col("probs"), K))
+    rows = t.vectors(spark, sf)
+    model = scorers.fit_centroids(rows, "x", "y", "fold", K)
+    scores = scorers.score_centroids(
+        rows, model, "x", ["id", "y"], "fold", t.seeded_candidates()
+    )
+    pred = scores.withColumn("y_hat", argmax_class(F.col("probs"), K))
     out = metrics.metric_by_seed(pred, list(range(K)))
     return out.select("n_seeds", *[r6(c) for c in out.columns[1:]])
 
@@ -425,7 +454,7 @@ def simplex_fusion(spark, sf):
 def stack_fusion(spark, sf):
     rows = folds.assign_folds(_wide(spark, sf), 2, ["id"])
     out = scorers.stack_scores(rows, t.BLOCKS, 2, K)
-    return out.select("id", "y", "fold", "y_hat", r6(max_prob(F.col("probs")), "confidence"))
+    return _score_check(out, F.count("y_hat") == F.count(F.lit(1)))
 
 
 def _even_mixture(spark, sf) -> DataFrame:
@@ -463,9 +492,10 @@ def threshold_sweep(spark, sf):
 
 
 def gated_decision(spark, sf):
-    wide = _wide(spark, sf)
-    p_label = 1.0 - F.get("block0", F.lit(0))
-    return wide.select("id", gated_decide(p_label, F.col("block1"), 0.9, K).alias("y_hat"))
+    first = lambda c: F.get(c, F.lit(0))
+    p_label = 1.0 - (first("block0") + first("block1")) / 2
+    probs = F.zip_with("block2", "block3", lambda a, b: (a + b) / 2)
+    return _wide(spark, sf).select("id", gated_decide(p_label, probs, 0.9, K).alias("y_hat"))
 
 
 def _pool(spark, sf):
@@ -477,13 +507,23 @@ def pseudo_label(spark, sf):
     return out.select(F.col("id").alias("doc_id"), "y_hat", r6("confidence"))
 
 
+def pseudo_label_capped(spark, sf):
+    out = decisions.pseudo_label(_pool(spark, sf), 0.7, t.QUALITY_CLASSES, per_class_cap=50)
+    return out.select(F.col("id").alias("doc_id"), "y_hat", r6("confidence"))
+
+
 def pseudo_coverage(spark, sf):
     out = decisions.pseudo_coverage(_pool(spark, sf), [0.5, 0.7, 0.9, 0.99], t.QUALITY_CLASSES)
     return out.select("threshold", "pool", "selected", r6("coverage"))
 
 
 def confidence_bands(spark, sf):
-    out = decisions.confidence_bands(_naive_bayes(spark, sf), [0.7, 0.9], t.QUALITY_CLASSES)
+    rows = t.vectors(spark, sf)
+    model = scorers.fit_centroids(rows, "x", "y", "fold", K)
+    scored = scorers.score_centroids(
+        rows, model, "x", ["id", "y"], "fold", [("all", 0, range(64))]
+    )
+    out = decisions.confidence_bands(scored, BANDS, K)
     return out.select("band", "lower", "n", "n_right", r6("precision"))
 
 
@@ -532,9 +572,8 @@ def run_log_parse(spark, sf):
 
 
 def index_vs_log(spark, sf):
-    logged = run_log.parse_run_log(t.run_log(spark, sf, "O"))
-    index = t.registry(spark, sf).filter(F.col("metric") == "local")
-    return registry.index_vs_log(index, logged)
+    logged = run_log.parse_run_log(t.run_log(spark, sf))
+    return registry.index_vs_log(t.registry(spark, sf), logged)
 
 
 def record_check(spark, sf):
@@ -552,6 +591,23 @@ def manifest_totals(spark, sf):
     return manifests.totals(docs.select(F.col("n_chars").alias("length")))
 
 
+def tree_totals(spark, sf):
+    root = t.document_files(spark, sf)
+    return manifests.totals(trees.manifest(spark, root))
+
+
+def file_byte_features(spark, sf):
+    files_of = trees.contents(spark, t.document_files(spark, sf))
+    out = byte_features.byte_features(files_of)
+    return out.select(
+        F.regexp_extract("path", r"([0-9]+)$", 1).cast("bigint").alias("doc_id"),
+        "size",
+        "sha256",
+        F.size(F.filter("histogram", lambda n: n > 0)).alias("n_distinct"),
+        r6("entropy"),
+    )
+
+
 def manifest_diff(spark, sf):
     return manifests.reconcile(*t.trees(spark, sf))
 
@@ -566,6 +622,7 @@ QUERIES = {
         macro_f1_positive,
         accuracy,
         weighted_f1,
+        many_class_confusion,
         class_delta,
         flip_matrix,
         submission_check,
@@ -603,6 +660,7 @@ QUERIES = {
         threshold_sweep,
         gated_decision,
         pseudo_label,
+        pseudo_label_capped,
         pseudo_coverage,
         confidence_bands,
         pseudo_union,
@@ -614,6 +672,8 @@ QUERIES = {
         record_check,
         leftover_files,
         manifest_totals,
+        tree_totals,
+        file_byte_features,
         manifest_diff,
     )
 } | {"argmax_class": argmax_dimension, "byte_features": byte_feature_rows}

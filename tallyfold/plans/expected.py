@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyfold.plans.catalog import GRID
-from tallyfold.plans.tables import BLOCKS, block_candidates
+from tallyfold.plans.catalog import BANDS, GRID
+from tallyfold.plans.tables import BLOCKS, MANY, WHOLE, block_candidates, seeded_candidates
 
 
 def _fold(expr: str, k: int = 5, seed: str = "") -> str:
@@ -152,7 +152,7 @@ def _centroid_probs(variants: list[tuple[str, int, list[int]]]) -> str:
              (partition by id, candidate, seed) as p from ex)"""
 
 
-BLOCK0 = _centroid_probs(block_candidates((0,)))
+WHOLE_BLOCKS = _centroid_probs(block_candidates((WHOLE,)))
 ALL_BLOCKS = _centroid_probs(block_candidates())
 
 
@@ -175,7 +175,7 @@ def _by_model_f1(pred: str, by: str) -> str:
     f1s as (select {by}, sum(f1) / 10 as macro_f1 from per group by all)"""
 
 
-CANDIDATES = f"""{BLOCK0},
+CANDIDATES = f"""{WHOLE_BLOCKS},
     mixed as (select id, y, 'fusion' as candidate, c, sum(0.25e0 * p) as p from p
               group by id, y, c),
     longp as (select id, y, candidate, c, p from p union all select * from mixed),
@@ -190,7 +190,7 @@ CANDIDATES = f"""{BLOCK0},
               from counts cross join
                 (select n_candidate as n_base from counts where candidate = 'block0') b)"""
 
-SEARCH = f"""{BLOCK0},
+SEARCH = f"""{WHOLE_BLOCKS},
     wide as (select id, y, c, {', '.join(f"max(p) filter (candidate = '{b}') as {b}" for b in BLOCKS)}
              from p group by id, y, c),
     g as (select i, j, k, 10 - i - j - k as l from range(11) a(i), range(11) b(j), range(11) c(k)
@@ -283,8 +283,8 @@ REGISTRY = f"""reg as (select 'p' || o_custkey as project,
 
 LOG = f"""log as (select o_orderkey as id, o_orderstatus as status,
       case when o_orderpriority = '5-LOW' then null::timestamp
-        when o_orderpriority = '2-HIGH' then date_trunc('day', o_orderdate) + interval '8 hours 47 minutes 15 seconds'
-        when o_orderpriority = '3-MEDIUM' then date_trunc('day', o_orderdate) + interval '17 hours 8 minutes 27 seconds'
+        when o_orderpriority = '2-HIGH' then date_trunc('day', o_orderdate) + interval '6 hours 5 minutes 4 seconds'
+        when o_orderpriority = '3-MEDIUM' then date_trunc('day', o_orderdate) + interval '21 hours 22 minutes 23 seconds'
         else date_trunc('day', o_orderdate) end as ts,
       case when o_orderpriority = '4-NOT SPECIFIED' then null else 'p' || o_custkey end as project,
       case when o_orderpriority = '4-NOT SPECIFIED' then null else {VERSION} end as version,
@@ -326,6 +326,30 @@ WINDOWED = """w as (select doc_id, text, length(text) as n, unnest([0, 1, 2]) as
 
 LETTERS = "length(regexp_replace({}, '[^aeiou]', '', 'g'))"
 
+SOUND = "0::bigint as n_null, 0::bigint as n_bad_sum, true as learns"
+
+# many classes: the best class of a (key, fold) by its rank, not by a column for each
+MANY_PRED = f"""src as (select l_orderkey as id, (l_suppkey % {MANY})::int as y,
+      cast(cast(l_quantity as int) as varchar) || '|'
+        || cast(cast(round(l_discount * 100) as int) as varchar) as key,
+      {_fold('l_orderkey')} as fold from lineitem),
+    own as (select key, fold, y, count(*) as n from src group by all),
+    groups_ as (select distinct key, fold from src),
+    kt as (select key, y, sum(n) as n from own group by all),
+    ft as (select fold, y, sum(n) as n from own group by all),
+    t as (select y, sum(n) as n from own group by all),
+    here as (select g.key, g.fold, kt.y, kt.n - coalesce(own.n, 0) as n
+             from groups_ g join kt using (key)
+             left join own on own.key = g.key and own.fold = g.fold and own.y = kt.y),
+    there as (select f.fold, t.y, t.n - coalesce(ft.n, 0) as n
+              from (select distinct fold from src) f cross join t
+              left join ft on ft.fold = f.fold and ft.y = t.y),
+    best_here as (select key, fold, arg_max(y, n * 1000 - y) as y, sum(n) as n from here group by all),
+    best_there as (select fold, arg_max(y, n * 1000 - y) as y from there group by fold),
+    pred as (select s.y, case when h.n > 0 then h.y else p.y end as y_hat
+             from src s join best_here h on h.key = s.key and h.fold = s.fold
+             join best_there p on p.fold = s.fold)"""
+
 SQL = {
     "oof_macro_f1": f"with {ORDER_PRED}, {_per_class('pred')} select {MACRO} as macro_f1 from cls",
     "confusion": f"with {LINE_PRED} select y, y_hat, count(*) as n from pred group by y, y_hat",
@@ -437,6 +461,25 @@ SQL = {
     "centroid_scores": f"""with {_centroid_probs([('all', 0, list(range(64)))])}
         select id, fold, c as class, round(p, 6) as p from p""",
     "nb_scores": f"""with {BAYES} select id as doc_id, fold, y, round(p1, 6) as p1 from nb""",
+    "ml_scores": f"""select unnest(['logistic', 'forest', 'mlp', 'boosting']) as candidate, *
+        from (select count(*) as n_rows, count(distinct vec_id) as n_ids, {SOUND} from embeddings)""",
+    "text_ml_scores": f"""select 'logistic' as candidate, count(*) as n_rows,
+        count(distinct doc_id) as n_ids, {SOUND} from documents""",
+    "tabular_ml_scores": f"""select 'logistic' as candidate, count(*) as n_rows,
+        count(distinct o_orderkey) as n_ids, {SOUND} from orders""",
+    "stack_fusion": f"""select 'stack' as candidate, count(*) as n_rows,
+        count(distinct vec_id) as n_ids, {SOUND} from embeddings""",
+    "many_class_confusion": f"""with {MANY_PRED} select y, y_hat, count(*) as n from pred group by y, y_hat""",
+    "tree_totals": """select count(*) as n_files,
+        coalesce(sum(octet_length(encode(coalesce(text, '')))), 0)::bigint as n_bytes from documents""",
+    "file_byte_features": """with h as (select doc_id, octet_length(encode(text)) as size, sha256(text) as sha256,
+          regexp_extract_all(hex(encode(text)), '..') as b from documents),
+        x as (select doc_id, unnest(b) as b from h),
+        n as (select doc_id, b, count(*) as n from x group by all),
+        e as (select doc_id, count(*) as n_distinct,
+                log2(sum(n)) - sum(n * log2(n)) / sum(n) as entropy from n group by doc_id)
+        select doc_id, size, sha256, n_distinct::int as n_distinct, round(entropy, 6) as entropy
+        from h join e using (doc_id)""",
     "model_reload_same_scores": """select count(*) as n_rows, 0::bigint as n_different
         from embeddings""",
     "argmax_class": """with x as (select vec_id as id, generate_subscripts(embedding, 1) - 1 as c,
@@ -446,9 +489,8 @@ SQL = {
         m as (select id, candidate, c, avg(p) as p from p group by all)
         select id, candidate, y_hat, round(top, 6) as confidence
         from ({_decide('m', 'id, candidate')})""",
-    "metric_by_seed": f"""with {ALL_BLOCKS},
-        b as (select * from p where candidate = 'block0'),
-        pred as ({_decide('b', 'id, seed', 'y')}), {_by_model_f1('pred', 'seed')}
+    "metric_by_seed": f"""with {_centroid_probs(seeded_candidates())},
+        pred as ({_decide('p', 'id, seed', 'y')}), {_by_model_f1('pred', 'seed')}
         select count(*) as n_seeds, round(avg(macro_f1), 6) as mean_macro_f1,
           round(stddev_samp(macro_f1), 6) as std_macro_f1, round(min(macro_f1), 6) as min_macro_f1,
           round(max(macro_f1), 6) as max_macro_f1 from f1s""",
@@ -481,23 +523,31 @@ SQL = {
           round(tp::double / nullif(tp + fn, 0), 6) as recall, round(f1, 6) as f1,
           round((tp + tn)::double / (tp + fp + fn + tn), 6) as accuracy,
           row_number() over (order by floor(f1 * 1e9 + 0.5e0) desc, threshold) = 1 as best from f""",
-    "gated_decision": f"""with {BLOCK0},
-        gate as (select id, 1e0 - p as g from p where candidate = 'block0' and c = 0),
-        cls as (select id, c, p from p where candidate = 'block1' and c > 0),
+    "gated_decision": f"""with {WHOLE_BLOCKS},
+        gate as (select id, 1e0 - sum(p) / 2 as g from p
+                 where candidate in ('block0', 'block1') and c = 0 group by id),
+        cls as (select id, c, sum(p) / 2 as p from p
+                where candidate in ('block2', 'block3') and c > 0 group by id, c),
         best as ({_decide('cls', 'id')})
         select id, case when floor(g * 1e9 + 0.5e0) < 900000000 then 0 else y_hat end as y_hat
         from gate join best using (id)""",
     "pseudo_label": f"""with {BAYES} select id as doc_id, y_hat, round(top, 6) as confidence
         from sure where y is null and q >= 700000000""",
+    "pseudo_label_capped": f"""with {BAYES},
+        r as (select id, y_hat, top, row_number() over (partition by y_hat
+                order by floor(q / 1e6) desc, md5(cast(id as varchar)), id) as r
+              from sure where y is null and q >= 700000000)
+        select id as doc_id, y_hat, round(top, 6) as confidence from r where r <= 50""",
     "pseudo_coverage": f"""with {BAYES}, t as (select unnest([0.5e0, 0.7e0, 0.9e0, 0.99e0]) as threshold),
         c as (select threshold, count(*) as pool,
           count(*) filter (q >= floor(threshold * 1e9 + 0.5e0)) as selected
           from sure cross join t where y is null group by threshold)
         select *, round(selected::double / pool, 6) as coverage from c""",
-    "confidence_bands": f"""with {BAYES},
-        b as (select *, (case when q >= 900000000 then 2 when q >= 700000000 then 1 else 0 end)::int
-              as band from sure where y is not null)
-        select band, case band when 0 then 0e0 when 1 then 0.7e0 else 0.9e0 end as lower,
+    "confidence_bands": f"""with {_centroid_probs([('all', 0, list(range(64)))])},
+        d as ({_decide('p', 'id', 'y')}),
+        b as (select *, ((floor(top * 1e9 + 0.5e0) >= floor({BANDS[0]}e0 * 1e9 + 0.5e0))::int
+              + (floor(top * 1e9 + 0.5e0) >= floor({BANDS[1]}e0 * 1e9 + 0.5e0))::int) as band from d)
+        select band, case band when 0 then 0e0 when 1 then {BANDS[0]}e0 else {BANDS[1]}e0 end as lower,
           count(*) as n, count(*) filter (y = y_hat) as n_right,
           round(count(*) filter (y = y_hat) / count(*)::double, 6) as precision
         from b group by band""",
@@ -520,17 +570,19 @@ SQL = {
           coalesce(score < best_before, false) as regression from d""",
     "score_gap": f"""with {REGISTRY}, g as (select project, version,
           max(score) filter (metric = 'local') as l, max(score) filter (metric = 'platform') as p
-          from reg group by project, version)
+          from (select *, row_number() over (partition by project, version, metric
+                  order by logged_at desc, score desc) as r from reg)
+          where r = 1 group by project, version)
         select project, version, l as local_score, p as platform_score,
           round((l - p) * 100e0, 6) as gap_points from g where l is not null and p is not null""",
     "run_log_parse": f"""with {LOG} select ts, project, version, selected, macro_f1, n_metrics
         from log""",
     "index_vs_log": f"""with {REGISTRY}, {LOG},
         i as (select project, version, row_number() over (partition by project
-                order by major desc, minor desc, suffix desc) as r from reg where metric = 'local'),
+                order by major desc, minor desc, suffix desc) as r from reg),
         l as (select project, version, row_number() over (partition by project
                 order by major desc, minor desc) as r from log
-              where status = 'O' and project is not null)
+              where project is not null)
         select project, i.version as index_version, l.version as log_version,
           case when l.version is null then 'only_index' when i.version is null then 'only_log'
             when i.version = l.version then 'same' else 'differs' end as status
@@ -554,7 +606,7 @@ SQL = {
           quality, toxic from documents left join labels using (doc_id)),
         a as (select path, length(text) as n from d where coalesce(toxic, 0) = 0),
         b as (select path, length(regexp_replace(text, '[ \n]+', ' ', 'g')) as n
-              from d where coalesce(quality, 1) = 1)
+              from d where coalesce(quality, 1) = 1 or toxic = 1)
         select path, a.n as length_a, b.n as length_b,
           case when a.path is null then 'added' when b.path is null then 'removed'
             when a.n = b.n then 'same' else 'changed' end as status

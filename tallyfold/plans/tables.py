@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators.folds import assign_folds
 from tallyfold.operators.keys import lookup_candidate
+from tallyfold.sources.files import write_files
 from tallyfold.sources.run_log import read_log
 from tallyfold.sources.shared import shared_folder
 
@@ -16,9 +17,11 @@ FOLDS = 5
 STATUSES = ("F", "O", "P")
 FLAGS = ("A", "N", "R")
 VECTOR_CLASSES = 10
+MANY = 87
 QUALITY_CLASSES = 2
 BLOCKS = tuple(f"block{b}" for b in range(4))
 SEEDS = (0, 1, 2)
+WHOLE = -1
 SMALL_SCAN = 64
 
 
@@ -105,14 +108,59 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_candidates(seeds: Sequence[int] = SEEDS) -> list[tuple[str, int, list[int]]]:
     """Four candidates that each see 16 of the 64 dimensions; a seed leaves out a
-    quarter of them."""
+    quarter of them, WHOLE none."""
     return [
-        (name, s, [d for d in range(16 * b, 16 * b + 16) if (d + s) % 4 != 0])
+        (name, s, [d for d in range(16 * b, 16 * b + 16) if s == WHOLE or (d + s) % 4 != 0])
         for b, name in enumerate(BLOCKS)
         for s in seeds
     ]
 
 
+def seeded_candidates() -> list[tuple[str, int, list[int]]]:
+    """One candidate that sees all dimensions; a seed leaves out a quarter of them."""
+    return [("all", s, [d for d in range(64) if (d + s) % 4 != 0]) for s in SEEDS]
+
+
+def many_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, y, key, fold of line items; y has MANY classes."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_quantity", "l_discount"
+    )
+    rows = spread_out(rows, "l_orderkey").select(
+        F.col("l_orderkey").alias("id"),
+        (F.col("l_suppkey") % MANY).cast("int").alias("y"),
+        F.concat_ws(
+            "|",
+            F.col("l_quantity").cast("int"),
+            F.round(F.col("l_discount") * 100).cast("int"),
+        ).alias("key"),
+    )
+    return assign_folds(rows, FOLDS, ["id"])
+
+
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, y, x: the class is the side of a plane, which models can learn."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("x")
+    )
+    side = F.get("x", F.lit(0)) + F.get("x", F.lit(1)) > 0
+    return spread_out(rows.withColumn("y", side.cast("int")), "id")
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as a tree of files, some hidden; returns its root."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(
+        F.element_at(F.array(F.lit("_"), F.lit("."), F.lit("a ")), (F.col("doc_id") % 3 + 1).cast("int")),
+        F.col("doc_id").cast("string"),
+    )
+    path = F.concat_ws("/", F.concat(F.lit("_"), F.col("lang")), "source", name)
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    root = shared_folder(spark)
+    write_files(docs.select(path.alias("path"), content.alias("content")), root)
+    return root
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
@@ -156,14 +204,14 @@ def run_log(spark: SparkSession, sf_dir: str, status: str | None = None) -> Data
         .when(
             F.col("o_orderpriority") == "2-HIGH",
             F.concat(
-                F.lit("["), day, F.lit(" 08:47:15] "), head, F.lit(" smoke completed; selected="),
+                F.lit("["), day, F.lit(" 06:05:04] "), head, F.lit(" trial over; selected="),
                 chosen, F.lit("; macro_f1="), score, F.lit(", accuracy=0.5, archived."),
             ),
         )
         .when(
             F.col("o_orderpriority") == "3-MEDIUM",
             F.concat(
-                F.lit("- "), day, F.lit(" 17:08:27 "), head, F.lit("; selected="), chosen,
+                F.lit("- "), day, F.lit(" 21:22:23 "), head, F.lit("; selected="), chosen,
                 F.lit("; macro_f1=0.1; macro_f1="), score,
             ),
         )
@@ -220,8 +268,8 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two manifests: documents that are not toxic, and documents that are not of low
-    quality, the second with runs of spaces and line ends cut to one."""
+    """Two manifests: documents that are not toxic, and documents that are toxic or not of
+    low quality, the second with runs of spaces and line ends cut to one."""
     docs = table(spark, sf_dir, "documents").join(
         table(spark, sf_dir, "labels"), "doc_id", "left"
     )
@@ -229,7 +277,7 @@ def trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     old = docs.filter(F.coalesce("toxic", F.lit(0)) == 0).select(
         path, F.length("text").cast("bigint").alias("length")
     )
-    new = docs.filter(F.coalesce("quality", F.lit(1)) == 1).select(
+    new = docs.filter((F.coalesce("quality", F.lit(1)) == 1) | (F.col("toxic") == 1)).select(
         path,
         F.length(F.regexp_replace("text", "[ \n]+", " ")).cast("bigint").alias("length"),
     )

@@ -29,7 +29,8 @@ def parse_run_log(lines: DataFrame, line: str = "line") -> DataFrame:
 
     project is what stands before the first version: the first cell of a table row,
     else the text after the time. Of a metric named twice the last value counts. A
-    line with no time, version or metric gives nulls and an empty map.
+    line with no time, version or metric gives nulls and an empty map. So do a table's
+    rule (``|---|---|``) and its head, which names no version, number or time.
     """
     text = F.col(line)
     steps = lines.select(
@@ -49,8 +50,10 @@ def parse_run_log(lines: DataFrame, line: str = "line") -> DataFrame:
     before = F.substr(
         F.col("_body"), F.lit(1), F.regexp_instr("_body", F.lit(NAME)) - 1
     )
-    head = F.when(row, F.split_part("_body", F.lit("|"), F.lit(1))).when(
-        F.col("_version") != "", before
+    # a row without a version or a number is a table's head or rule
+    says = (F.col("_version") != "") | (F.size("_names") > 0)
+    head = F.when(row & says, F.split_part("_body", F.lit("|"), F.lit(1))).when(
+        ~row & (F.col("_version") != ""), before
     )
     names, values = F.col("_names"), F.col("_values")
     numbers = values.cast("array<double>")
