@@ -3,9 +3,11 @@
 import pytest
 
 from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
+from tallyfold.plans.catalog import QUERIES
+from tallyfold.plans.expected import SQL
 from tests.compare import compare, duck
 
-ROWS_ONLY = {"ml_scores", "text_ml_scores", "tabular_ml_scores", "stack_fusion"}
+FITTED = {"ml_scores", "text_ml_scores", "tabular_ml_scores", "stack_fusion"}
 
 
 @pytest.fixture(scope="module")
@@ -14,23 +16,20 @@ def con():
 
 
 def test_names():
-    assert set(oracle_sql()) == set(queries()) - ROWS_ONLY
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
 def test_entry(spark):
     assert entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = queries()[name](spark, SMOKE_DIR)
-    if name in ROWS_ONLY:
-        assert got.count() > 0
-    else:
-        assert compare(got, con, oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, SMOKE_DIR), con, SQL[name]) is None
 
 
-CHEAP_TO_PLAN = sorted(set(queries()) - ROWS_ONLY - {"model_reload_same_scores"})
+CHEAP_TO_PLAN = sorted(set(QUERIES) - FITTED - {"model_reload_same_scores"})
 
 
 @pytest.mark.parametrize("name", CHEAP_TO_PLAN)
