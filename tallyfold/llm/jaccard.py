@@ -21,13 +21,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import map_texts
@@ -42,6 +41,7 @@ COMMON = 4
 SHORT_LIST = 16
 BLOCK_SHINGLES = 96_000
 BROADCAST_ROWS = 1_000_000
+PROBED = 32
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -105,6 +105,8 @@ class Lists:
         self.owner = owner[order]
         self.keys, self.first = np.unique(every[order], return_index=True)
         self.last = np.append(self.first[1:], len(every))
+        # all lists as one sorted array of (list, set), for probing many lists at once
+        self.cells = np.repeat(np.arange(len(self.keys)), self.last - self.first) * len(sets) + self.owner
 
     def search(self, query: np.ndarray, percent: int, common: int = COMMON) -> np.ndarray:
         """Numbers of the sets whose similarity to the query is ``percent`` at least."""
@@ -123,23 +125,19 @@ class Lists:
         floor = need - aside
         short, long = at[: len(at) - aside], at[len(at) - aside :]
         lists = [self.owner[self.first[i] : self.last[i]].tolist() for i in short.tolist()]
-        found = [(x, n) for x, run in groupby(heapq.merge(*lists)) if (n := sum(1 for _ in run)) >= floor]
-        if not found:
-            return np.empty(0, np.int64)
-        sets, counts = (np.array(c, np.int64) for c in zip(*found))
+        sets, counts = np.unique(np.fromiter(heapq.merge(*lists), np.int64), return_counts=True)
+        sets, counts = sets[counts >= floor], counts[counts >= floor]
         # a partner is neither too short nor too long
         fits = (100 * self.sizes[sets] >= percent * len(query)) & (100 * len(query) >= percent * self.sizes[sets])
         sets, counts = sets[fits], counts[fits]
-        for left, i in zip(range(len(long), 0, -1), long.tolist()):
-            alive = counts + left >= need
-            if not alive.all():
-                sets, counts = sets[alive], counts[alive]
+        for start in range(0, len(long), PROBED):
+            alive = counts + len(long) - start >= need
+            sets, counts = sets[alive], counts[alive]
             if not len(sets):
                 break
-            own = self.owner[self.first[i] : self.last[i]]
-            place = np.searchsorted(own, sets)
-            place[place == len(own)] = 0
-            counts = counts + (own[place] == sets)
+            wanted = long[start : start + PROBED, None] * len(self.sizes) + sets
+            place = np.minimum(np.searchsorted(self.cells, wanted), len(self.cells) - 1)
+            counts = counts + (self.cells[place] == wanted).sum(axis=0)
         return sets[100 * counts >= percent * (len(query) + self.sizes[sets] - counts)]
 
 
@@ -227,23 +225,30 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(hot: DataFrame, block_shingles: int) -> DataFrame:
-    """(node, block) for nodes in long lists, those of one list near each other."""
+    """(node, block) for nodes in long lists, those of one list near each other. A block has
+    about ``block_shingles`` shingles, however many partitions the nodes come in."""
     nodes = hot.groupBy("node").agg(F.max(F.struct("m", "h")).alias("list"), F.first("n").alias("n"))
     ordered = nodes.select("node", "n", "list.h").repartitionByRange("h", "node").sortWithinPartitions("h", "node")
 
-    def numbered(batches):
-        block = (TaskContext.get().partitionId()) << 32
-        size = 0
+    def measured(batches):
+        part, size = TaskContext.get().partitionId(), 0
         for batch in batches:
-            out = []
-            for n in batch.column(1).to_pylist():
-                if size and size + n + 64 > block_shingles:
-                    block, size = block + 1, 0
-                size += n + 64
-                out.append(block)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["node", "block"])
-
-    return settle(ordered.select("node", "n").mapInArrow(numbered, "node bigint, block bigint"))
+            upto = size + np.cumsum(batch.column(1).to_numpy(zero_copy_only=False) + 64)
+            size = int(upto[-1]) if len(upto) else size
+            yield pa.RecordBatch.from_pydict(
+                {"node": batch.column(0), "part": pa.array([part] * len(upto), pa.int32()), "upto": pa.array(upto, pa.int64())}
+            )
+
+    placed = settle(ordered.select("node", "n").mapInArrow(measured, "node bigint, part int, upto bigint"))
+    # one row for each partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("part")
+        .agg(F.max("upto").alias("total"))
+        .select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    )
+    block = F.floor((F.col("start") + F.col("upto")) / block_shingles)
+    return settle(placed.join(F.broadcast(starts), "part").select("node", block.alias("block")))
 
 
 def near_duplicates(
