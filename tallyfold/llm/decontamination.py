@@ -44,23 +44,31 @@ def windows_of(text: str | None, size: int) -> list[list[bytes]]:
 
 
 def window_table(benchmark: DataFrame, text: str, key: str, window: int, shingle: int) -> DataFrame:
-    """key, the window's words, and the hashes of its shingles; equal windows of an item once."""
+    """key, the window's words, the words in a shingle, and the hashes of its shingles; equal
+    windows of an item once."""
 
     def listed(texts):
         hashes, out = WordHashes(), []
         for t in texts:
             out.append(
                 [
-                    {"words": b" ".join(w), "parts": ngram_hashes(hashes(w), min(shingle, len(w))).view(np.int64).tolist()}
+                    {
+                        "words": b" ".join(w),
+                        "size": min(shingle, len(w)),
+                        "parts": ngram_hashes(hashes(w), min(shingle, len(w))).view(np.int64).tolist(),
+                    }
                     for w in {b" ".join(w): w for w in windows_of(t, window)}.values()
                 ]
             )
-        kind = pa.list_(pa.struct([("words", pa.binary()), ("parts", pa.list_(pa.int64()))]))
+        kind = pa.list_(
+            pa.struct([("words", pa.binary()), ("size", pa.int32()), ("parts", pa.list_(pa.int64()))])
+        )
         return {"found": pa.array(out, kind)}
 
     rows = benchmark.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
-    found = map_texts(rows.filter("item is not null"), "text", "found array<struct<words:binary,parts:array<bigint>>>", listed)
-    return found.select("item", F.explode("found").alias("w")).select("item", "w.words", "w.parts")
+    schema = "found array<struct<words:binary,size:int,parts:array<bigint>>>"
+    found = map_texts(rows.filter("item is not null"), "text", schema, listed)
+    return found.select("item", F.explode("found").alias("w")).select("item", "w.words", "w.size", "w.parts")
 
 
 class Windows:
@@ -107,7 +115,7 @@ def _blocks(windows: DataFrame, n_windows: int, limit: int) -> Iterator[list]:
         yield [(r["rarest"], r["place"], bytes(r["words"]), r["items"]) for r in rows.collect()]
 
 
-def rarity(docs: DataFrame, text: str, shingles: DataFrame, shingle: int) -> DataFrame:
+def rarity(docs: DataFrame, text: str, shingles: DataFrame, sizes: list[int]) -> DataFrame:
     """How often each shingle of the benchmark (column ``part``) occurs in the documents.
 
     The benchmark's shingles go to the tasks as a sorted array in blocks of bounded size; a
@@ -119,12 +127,12 @@ def rarity(docs: DataFrame, text: str, shingles: DataFrame, shingle: int) -> Dat
     found = None
     for b in range(n_blocks):
         rows = shingles.filter(F.pmod(F.xxhash64("part"), F.lit(n_blocks)) == b).toPandas()
-        shared = spark.sparkContext.broadcast((np.sort(rows["part"].to_numpy(np.int64)), sorted({*range(1, shingle + 1)})))
+        shared = spark.sparkContext.broadcast((np.sort(rows["part"].to_numpy(np.int64)), sizes))
 
         def counted(batches, shared=shared):
             hashes = WordHashes()
             keys, sizes = shared.value
-            n = np.zeros(len(keys) + 1, np.int64)
+            n = np.zeros(len(keys), np.int64)
             for batch in batches:
                 for t in batch.column(0):
                     own = hashes(words_of(t.as_py()))
@@ -133,7 +141,7 @@ def rarity(docs: DataFrame, text: str, shingles: DataFrame, shingle: int) -> Dat
                         if len(grams) and len(keys):
                             at = np.searchsorted(keys, grams)
                             at[at == len(keys)] = 0
-                            n += np.bincount(at[keys[at] == grams], minlength=len(n))
+                            np.add.at(n, at[keys[at] == grams], 1)
             met = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"part": keys[met], "n": n[met]})
 
@@ -164,12 +172,13 @@ def decontaminate(
     spark = docs.sparkSession
     windows = settle(window_table(benchmark, bench_text, bench_key, window, shingle))
     parts = windows.select(F.explode("parts").alias("part")).distinct()
-    counts = rarity(docs, text, parts, shingle)
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+    counts = rarity(docs, text, parts, sizes)
     by_window = windows.select("item", "words", F.posexplode("parts").alias("place", "part"))
     rarest = settle(
         by_window.join(counts, "part")
         .groupBy("item", "words")
-        .agg(F.min(F.struct("n", "part", "place")).alias("r"), F.count(F.lit(1)).alias("met"), F.any_value(F.lit(0)))
+        .agg(F.min(F.struct("n", "part", "place")).alias("r"), F.count(F.lit(1)).alias("met"))
         .join(windows.select("item", "words", F.size("parts").alias("all")), ["item", "words"])
         # a shingle that no document has rules its window out
         .filter(F.col("met") == F.col("all"))
