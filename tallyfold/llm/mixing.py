@@ -52,13 +52,13 @@ def _features(text: Column) -> Column:
     """The distinct words, the share of marks and the share of capitals, both in steps."""
     n = F.greatest(F.length(text), F.lit(1))
 
-    def share(name: str, kept: str) -> Column:
-        left = F.length(F.regexp_replace(text, kept, "")) / n
-        return F.concat(F.lit(name), F.floor(F.sqrt(left) * 20).cast("string"))
+    def share(name: str, counted: str) -> Column:
+        found = F.regexp_count(text, F.lit(counted)) / n
+        return F.concat(F.lit(name), F.floor(F.sqrt(found) * 20).cast("string"))
 
     return F.array_union(
         F.array_distinct(_words(text)),
-        F.array(share("#marks ", r"[^\p{Punct}]"), share("#capitals ", r"[^\p{Lu}]")),
+        F.array(share("#marks ", r"\p{Punct}"), share("#capitals ", r"\p{Lu}")),
     )
 
 
