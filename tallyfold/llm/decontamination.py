@@ -45,9 +45,9 @@ def windows_of(text: str | None, size: int) -> list[list[bytes]]:
 
 def window_table(benchmark: DataFrame, text: str, key: str, window: int, shingle: int) -> DataFrame:
     """key, the window's words, the words in a shingle, and the hashes of its shingles; equal
-    windows of an item once."""
+    windows of an item once, from however many of its rows they come."""
 
-    def listed(texts):
+    def cut(texts):
         hashes, out = WordHashes(), []
         for t in texts:
             out.append(
@@ -67,8 +67,9 @@ def window_table(benchmark: DataFrame, text: str, key: str, window: int, shingle
 
     rows = benchmark.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
     schema = "found array<struct<words:binary,size:int,parts:array<bigint>>>"
-    found = map_texts(rows.filter("item is not null"), "text", schema, listed)
-    return found.select("item", F.explode("found").alias("w")).select("item", "w.words", "w.size", "w.parts")
+    found = map_texts(rows.filter("item is not null"), "text", schema, cut)
+    listed = found.select("item", F.explode("found").alias("w")).select("item", "w.words", "w.size", "w.parts")
+    return listed.dropDuplicates(["item", "words"])
 
 
 class Windows:

@@ -192,6 +192,19 @@ def test_decontamination(spark, block_windows):
     assert decontamination.decontaminate(docs_of(spark, []).select("doc_id", "text"), bench).count() == 0
 
 
+def test_decontamination_with_repeated_benchmark_rows(spark):
+    long = " ".join(f"v{i}" for i in range(14))
+    items = [(1, long), (1, long), (2, "one two three"), (2, "One  two-three"), (3, long), (3, long + " end"), (4, "alone")]
+    items += [(5, "p q"), (5, "p q"), (5, None), (6, "never met here"), (6, "never met here")]
+    docs = [(1, f"x {long} y"), (2, "say one two three now"), (3, "alone"), (4, f"{long} end"), (5, "o p q"), (6, "clean")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").repartition(3)
+    found = decontamination.decontaminate(docs_of(spark, docs).select("doc_id", "text"), bench)
+    got = sorted((str(r[0]), *r[1:]) for r in found.collect())
+    assert got == hits_by_hand(docs, items)
+    clean = decontamination.keep_clean(docs_of(spark, docs), bench)
+    assert [r["doc_id"] for r in clean.collect()] == [6]
+
+
 # --- embeddings --------------------------------------------------------------------------
 
 
