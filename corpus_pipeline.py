@@ -8,6 +8,10 @@ from tallyfold.llm import decontamination, jaccard, mixing, quality, sharding
 from tallyfold.llm.common import table
 from tallyfold.sources.shared import settle
 
+#: Near duplicates: similarity 0.8 or more on runs of five words (op4 has its own contract).
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
@@ -17,7 +21,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the least id."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, shingle=STAGE_SHINGLE, percent=STAGE_PERCENT)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

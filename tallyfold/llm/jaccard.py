@@ -356,11 +356,14 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that with its id, and all rows without shingles, each with
-    the columns of ``docs``. Of rows with equal key and text one stays. In a component of
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """One row of each component (of links of ``percent`` / 100 or more on runs of ``shingle``
+    words), that with its id, and all rows without shingles, each with the columns of
+    ``docs``. Of rows with equal key and text one stays. In a component of
     null keys alone, one row stays for each text."""
-    found = near_duplicates(docs, key, text)
+    found = near_duplicates(docs, key, text, shingle, percent)
     kept = (
         found.filter(F.col("n_shingles") == 0)
         .select(key, "text_key")

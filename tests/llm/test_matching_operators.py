@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyfold.llm import decontamination, embedding_dedup, jaccard
 from tallyfold.llm.components import components, forest
 
@@ -126,6 +127,21 @@ def test_one_of_each_group_is_kept(spark):
     assert set(got) == want and got.count("0") == 1 and got.count("None") == 2
 
 
+def test_stage_links_on_five_words_from_80_percent(spark):
+    dice = random.Random(9)
+    words = dice.sample([f"w{i}" for i in range(5000)], 1000)
+    base = words[:104]
+    # 100 shared of 124, of 125 and of 126 runs of five words
+    rows = [(1, " ".join(base))] + [(i, " ".join(base + words[i * 100 : i * 100 + n])) for i, n in ((2, 24),)]
+    rows += [(3, " ".join(words[400:504])), (4, " ".join(words[400:504] + words[600:625]))]
+    rows += [(5, " ".join(words[700:804])), (6, " ".join(words[700:804] + words[850:876]))]
+    docs = docs_of(spark, rows)
+    kept = corpus_pipeline.distinct_documents(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6]
+    assert jaccard.keep_one(docs).count() == 6
+
+
 def test_search_is_exact():
     dice = random.Random(8)
     base = dice.sample(range(10**6), 100)
