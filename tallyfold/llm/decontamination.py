@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import map_texts
 from tallyfold.llm.shingles import WordHashes, ngram_hashes
+from tallyfold.operators.skew import lookup_join
 from tallyfold.sources.shared import settle
 
 WINDOW = 10
@@ -79,13 +80,13 @@ class Windows:
     with its words, the shingle's place, and its items.
     """
 
-    def __init__(self, rows: list[tuple[int, int, bytes, list[str]]]):
+    def __init__(self, rows: list[tuple[int, int, bytes, list[str]]], shingle: int = SHINGLE):
         rows = sorted(rows, key=lambda r: (r[0], r[2]))
         self.rows = [(place, words.split(), items) for _, place, words, items in rows]
         self.keys, self.first, self.n = np.unique(
             np.array([r[0] for r in rows], np.int64), return_index=True, return_counts=True
         )
-        self.sizes = sorted({min(SHINGLE, len(words)) for _, words, _ in self.rows})
+        self.sizes = sorted({min(shingle, len(words)) for _, words, _ in self.rows})
 
     def find(self, words: list[bytes], hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
         """Places (from, to) of all windows in the words, and the items they belong to."""
@@ -119,8 +120,8 @@ def _blocks(windows: DataFrame, n_windows: int, limit: int) -> Iterator[list]:
 def rarity(docs: DataFrame, text: str, shingles: DataFrame, sizes: list[int]) -> DataFrame:
     """How often each shingle of the benchmark (column ``part``) occurs in the documents.
 
-    The benchmark's shingles go to the tasks as a sorted array in blocks of bounded size; a
-    task sends back its counts of those it has met.
+    The benchmark's shingles go to the tasks as a sorted array in blocks of bounded size, one
+    after the other; a task sends back its counts of those it has met.
     """
     spark = docs.sparkSession
     total = shingles.count()
@@ -147,10 +148,93 @@ def rarity(docs: DataFrame, text: str, shingles: DataFrame, sizes: list[int]) ->
             yield pa.RecordBatch.from_pydict({"part": keys[met], "n": n[met]})
 
         part = docs.select(F.col(text)).mapInArrow(counted, "part bigint, n bigint")
+        if n_blocks > 1:
+            part = settle(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found.groupBy("part").agg(F.sum("n").alias("n"))
 
 
+def _digest(items) -> str:
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def _block_hits(texts: DataFrame, block) -> DataFrame:
+    """id, ends, items of the texts that hold a window of the block, equal texts once.
+    ``ends``: where the runs of words inside windows begin and end, in turn."""
+
+    def met(texts):
+        hashes = WordHashes.shared()
+        ends, items = [], []
+        for t in texts:
+            words = words_of(t)
+            places, found = block.value.find(words, hashes(words))
+            hit = np.zeros(len(words) + 2, np.int64)
+            for a, b in places:
+                hit[a + 1] += 1
+                hit[b + 1] -= 1
+            ends.append(np.flatnonzero(np.diff(np.cumsum(hit) > 0)))
+            items.append(sorted(found))
+        return {"ends": pa.array(ends, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
+
+    hits = map_texts(texts, "text", "ends array<bigint>, items array<string>", met)
+    return hits.filter("size(items) > 0").dropDuplicates(["id"])
+
+
+def _added_up(hits: DataFrame) -> DataFrame:
+    """id, n_hit, n_items, items_sha256 of the texts, from what all blocks found in them."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_hit, n_items, digest = [], [], []
+            for runs, found in zip(batch.column(1), batch.column(2)):
+                n = upto = 0
+                for a, b in sorted((v[i], v[i + 1]) for v in runs.as_py() for i in range(0, len(v), 2)):
+                    n += max(0, b - max(a, upto))
+                    upto = max(upto, b)
+                items = {i for v in found.as_py() for i in v}
+                n_hit.append(n)
+                n_items.append(len(items))
+                digest.append(_digest(items))
+            made = [pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", "n_hit", "n_items", "items_sha256"])
+
+    by_text = hits.groupBy("id").agg(F.collect_list("ends"), F.collect_list("items"))
+    return by_text.mapInArrow(added, "id string, n_hit bigint, n_items bigint, items_sha256 string")
+
+
+def _block_by_block(docs: DataFrame, text: str, blocks: Iterator[list], shingle: int) -> DataFrame:
+    """As ``decontaminate``, for more windows than a block: each block is broadcast, met by
+    all texts and released before the next one is collected."""
+    spark = docs.sparkSession
+    named = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    texts = docs.select(named.alias("id"), F.col(text).alias("text"))
+    hits = None
+    for rows in blocks:
+        block = spark.sparkContext.broadcast(Windows(rows, shingle))
+        found = settle(_block_hits(texts, block))
+        block.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+
+    def counted(texts):
+        return {"n_words": pa.array([len(words_of(t)) for t in texts], pa.int64())}
+
+    rows = map_texts(docs.withColumn("_hit_id", named), text, "n_words bigint", counted)
+    found = _added_up(hits).withColumnRenamed("id", "_hit_id")
+    joined = lookup_join(
+        rows.withColumn("_hit_row", F.monotonically_increasing_id()), found, ["_hit_id"], ["_hit_row"], weight=None
+    )
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
+    return joined.select(
+        *[c for c in docs.columns if c != text],
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"),
+        F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -167,8 +251,9 @@ def decontaminate(
     its words, if it has fewer). ``items_sha256``: hex of the items' ids with occurring
     windows, sorted as text and joined by commas (of "" if there are none). Null and empty
     texts, of documents and items, have no words; items without id are left out; repeated
-    rows count alike. The benchmark goes to the tasks in blocks of ``block_windows`` windows;
-    each document meets all blocks, so any number of items gives whole results.
+    rows count alike. The benchmark goes to the tasks in blocks of ``block_windows`` windows,
+    one at a time, so neither the driver nor a task ever holds more; each document meets all
+    blocks, so any number of items gives whole results.
     """
     spark = docs.sparkSession
     windows = settle(window_table(benchmark, bench_text, bench_key, window, shingle))
@@ -185,7 +270,11 @@ def decontaminate(
         .filter(F.col("met") == F.col("all"))
         .select("item", "words", F.col("r.part").alias("rarest"), F.col("r.place").alias("place"))
     )
-    blocks = [spark.sparkContext.broadcast(Windows(rows)) for rows in _blocks(rarest, rarest.count(), block_windows)]
+    n_windows = rarest.count()
+    blocks = _blocks(rarest, n_windows, block_windows)
+    if n_windows > block_windows:
+        return _block_by_block(docs, text, blocks, shingle)
+    block = spark.sparkContext.broadcast(Windows(next(blocks), shingle))
 
     def checked(texts):
         hashes = WordHashes.shared()
@@ -193,17 +282,15 @@ def decontaminate(
         for t in texts:
             words = words_of(t)
             own = hashes(words)
-            hit, items = np.zeros(len(words) + 1, np.int64), set()
-            for block in blocks:
-                places, found = block.value.find(words, own)
-                items |= found
-                for a, b in places:
-                    hit[a] += 1
-                    hit[b] -= 1
+            hit = np.zeros(len(words) + 1, np.int64)
+            places, items = block.value.find(words, own)
+            for a, b in places:
+                hit[a] += 1
+                hit[b] -= 1
             n_words.append(len(words))
             n_hit.append(int((np.cumsum(hit) > 0).sum()))
             n_items.append(len(items))
-            digest.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
+            digest.append(_digest(items))
         return {
             "n_words": pa.array(n_words, pa.int64()),
             "n_hit": pa.array(n_hit, pa.int64()),

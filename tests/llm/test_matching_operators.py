@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -221,6 +222,43 @@ def test_decontamination_with_repeated_benchmark_rows(spark):
     assert [r["doc_id"] for r in clean.collect()] == [6]
 
 
+def test_blocks_of_windows_are_held_one_at_a_time(spark, monkeypatch):
+    dice = random.Random(4)
+    words = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(dice.choices(words, k=13))) for i in range(8)] + [(8, "v1 v2"), (9, "v1 v2")]
+    docs = [(i, f"x {t} {items[i - 1][1]} y") for i, t in items] + [(i % 3, items[0][1]) for i in range(30)]
+    held, most = set(), []
+    give, drop = type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def broadcast(context, value):
+        made = give(context, value)
+        if isinstance(value, decontamination.Windows):
+            held.add(id(made))
+            most.append(len(held))
+        return made
+
+    def destroy(made, *args, **named):
+        held.discard(id(made))
+        return drop(made, *args, **named)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.decontaminate(docs_of(spark, docs).select("doc_id", "text"), bench, block_windows=12)
+    got = sorted((str(r[0]), *r[1:]) for r in found.collect())
+    assert got == hits_by_hand(docs, items)
+    assert len(most) > 1 and max(most) == 1
+
+
+def test_decontamination_on_longer_shingles(spark):
+    items = [(1, " ".join(f"v{i}" for i in range(14))), (2, "four words are here"), (3, "a b c d e")]
+    docs = [(1, "x " + items[0][1]), (2, "four words are here"), (3, "a b c d e f"), (4, "a b c d")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.decontaminate(docs_of(spark, docs).select("doc_id", "text"), bench, shingle=5)
+    got = sorted((str(r[0]), *r[1:]) for r in found.collect())
+    assert got == hits_by_hand(docs, items)
+
+
 # --- embeddings --------------------------------------------------------------------------
 
 
