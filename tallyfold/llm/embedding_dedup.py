@@ -30,6 +30,9 @@ SPREAD = 3.0
 BLOCK = 4096
 CELLS = 2_000_000
 ROUNDING = 1e-6
+TRIED = 2048
+PAIRS_EACH = 64
+FOUND = 0.995
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,14 +74,14 @@ class Index:
             error += d
         return codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, home: np.ndarray, reach: float) -> list[np.ndarray]:
-        """Lists to look into: those whose cell is no further than ``reach`` along the line
-        between the centroids (the bisector's distance)."""
+    def probes(self, x: np.ndarray, home: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
+        """Lists to look into: those whose cell is no further than ``reach`` (of the vector's
+        list and the other) along the line between the centroids (the bisector's distance)."""
         d = (x**2).sum(1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(1)
         apart = np.sqrt(np.maximum(((self.centres[:, None] - self.centres) ** 2).sum(2), 1e-18))
         away = (d - d[np.arange(len(x)), home][:, None]) / (2 * apart[home])
         away[np.arange(len(x)), home] = 0
-        return [np.flatnonzero(row <= reach).astype(np.int32) for row in away]
+        return [np.flatnonzero(row <= far).astype(np.int32) for row, far in zip(away, reach[home])]
 
     def distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Squared asymmetric distances between queries and coded vectors of a list."""
@@ -115,9 +118,75 @@ def usable(vector: str = "embedding"):
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
-def fit(nodes: DataFrame, length: int, n: int, threshold: float, train_vectors: int) -> Index:
-    """An index learnt from about ``train_vectors`` vectors, chosen by a hash. Lists: about
-    the root of the number of vectors, ``MOST_LISTS`` at most."""
+def sampled_pairs(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of linked vectors: for each of up to ``TRIED`` of them, up to ``PAIRS_EACH``."""
+    dice = np.random.default_rng(11)
+    tried = dice.choice(len(x), min(TRIED, len(x)), replace=False)
+    a, b = [], []
+    for start in range(0, len(tried), 256):
+        part = tried[start : start + 256]
+        for i, row in zip(part, x[part] @ x.T >= threshold):
+            near = np.flatnonzero(row)
+            near = near[near != i]
+            near = dice.choice(near, PAIRS_EACH, replace=False) if len(near) > PAIRS_EACH else near
+            a.append(np.full(len(near), i))
+            b.append(near)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def reaches(index: Index, x: np.ndarray, threshold: float, spread: float) -> np.ndarray:
+    """How far beyond its cell a vector of list i looks for partners in list j.
+
+    A partner at the threshold is as far away as ``whole``, and no bisector between them is
+    further. Along one line a random displacement has the share of ``whole`` that its variance
+    has there: that of an even spread over all dimensions, of the sample around its centroids,
+    or of the sampled linked pairs, whichever is most. ``spread`` of these standard deviations
+    are probed, or more, until ``FOUND`` of the sampled pairs meet; ``whole`` is the limit.
+    """
+    whole = float(np.sqrt(2 - 2 * threshold))
+    centres = index.centres
+    home, _ = _nearest(x, centres)
+    a, b = sampled_pairs(x, threshold)
+    apart = _squares_between(centres @ centres.T)
+    share = np.full(apart.shape, 1 / index.length)
+    for of, to, n in ((lambda v: x[v], lambda v: centres[home[v]], len(x)), (lambda v: x[a[v]], lambda v: x[b[v]], len(a))):
+        square = np.zeros((index.length, index.length))
+        for v in _slices(n):
+            moved = of(v) - to(v)
+            square += moved.T @ moved
+        if (total := np.trace(square)) > 0:
+            along = _squares_between(centres @ (square / total) @ centres.T)
+            share = np.maximum(share, along / np.maximum(apart, 1e-18))
+    # the line between centroids that are next to equal is not known
+    deviation = np.where(apart > 1e-9, whole * np.sqrt(share), whole)
+    if len(a):
+
+        def wanted(p, q):
+            to, own = centres[home[q]], centres[home[p]]
+            away = (((x[p] - to) ** 2).sum(1) - ((x[p] - own) ** 2).sum(1)) / 2
+            away /= np.sqrt(np.maximum(((to - own) ** 2).sum(1), 1e-18))
+            return np.where(home[p] == home[q], 0.0, away / deviation[home[p], home[q]])
+
+        # either end may find the other
+        least = [np.minimum(wanted(a[v], b[v]), wanted(b[v], a[v])) for v in _slices(len(a))]
+        spread = max(spread, float(np.quantile(np.concatenate(least), FOUND, method="higher")))
+    return np.minimum(spread * deviation, whole) + ROUNDING
+
+
+def _slices(n: int, size: int = 2048) -> list[slice]:
+    return [slice(start, start + size) for start in range(0, n, size)]
+
+
+def _squares_between(products: np.ndarray) -> np.ndarray:
+    own = np.diag(products)
+    return np.maximum(own[:, None] + own - 2 * products, 0)
+
+
+def fit(
+    nodes: DataFrame, length: int, n: int, threshold: float, train_vectors: int, spread: float = SPREAD
+) -> tuple[Index, np.ndarray]:
+    """An index learnt from about ``train_vectors`` vectors, chosen by a hash, and how far to
+    probe. Lists: about the root of the number of vectors, ``MOST_LISTS`` at most."""
     sample = (
         nodes.filter(F.size("vector") == length)
         .filter(hash_share(F.col("node"), "index") * n < train_vectors)
@@ -127,17 +196,19 @@ def fit(nodes: DataFrame, length: int, n: int, threshold: float, train_vectors:
     )
     if not len(sample):
         sample = nodes.filter(F.size("vector") == length).orderBy("node").limit(1).select("vector").toPandas()
-    return train(_unit(sample["vector"])[1], int(min(MOST_LISTS, max(1, round(n**0.5)))))
+    x = _unit(sample["vector"])[1]
+    index = train(x, int(min(MOST_LISTS, max(1, round(n**0.5)))))
+    return index, reaches(index, x, threshold, spread)
 
 
-def _placed(nodes: DataFrame, index: Index, reach: float) -> DataFrame:
+def _placed(nodes: DataFrame, index: Index, reach: np.ndarray) -> DataFrame:
     """node, weight, vector, home, probes, codes, error. Vectors of another length than the
     index's have a list of their own, -length, and no codes."""
-    shared = nodes.sparkSession.sparkContext.broadcast(index)
+    shared = nodes.sparkSession.sparkContext.broadcast((index, reach))
 
     def place(batches):
         for batch in batches:
-            index = shared.value
+            index, reach = shared.value
             vectors = batch.column(2).to_pylist()
             home, probes = [-len(v) for v in vectors], [[-len(v)] for v in vectors]
             codes: list = [None] * len(vectors)
@@ -241,8 +312,8 @@ def vector_groups(
 
     Every vector is indexed and every one is a query. Copies are indexed once, with their
     number. A list is cut into blocks of about ``block`` vectors and queries, so a task never
-    holds a list. ``spread``: a vector at the threshold, off its partner in a random
-    direction, lies that many standard deviations inside the lists probed.
+    holds a list. ``spread``: a vector at the threshold, off its partner in a direction as
+    the sample has them, lies that many standard deviations inside the lists probed.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")).withColumn("usable", usable("vector"))
@@ -259,8 +330,7 @@ def vector_groups(
     if lengths is None:
         return _finished(alone, key)
     length, n = lengths
-    index = fit(nodes, length, n, threshold, train_vectors)
-    reach = float(np.sqrt(2 - 2 * threshold) * spread / np.sqrt(length))
+    index, reach = fit(nodes, length, n, threshold, train_vectors, spread)
     placed = settle(_placed(nodes, index, reach))
 
     def blocks(lists: DataFrame, name: str) -> DataFrame:

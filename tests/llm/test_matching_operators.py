@@ -313,6 +313,18 @@ def test_embedding_recall_at_the_default_probes(spark):
     assert sum(found.values()) >= 0.98 * sum(want.values())
 
 
+def test_embedding_recall_on_few_effective_dimensions(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 6))
+    x = np.vstack([x, x + 0.22 * r.normal(size=x.shape)]) @ np.linalg.qr(r.normal(size=(1024, 6)))[0].T
+    rows = [(i, row.tolist()) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.vector_groups(df).collect()}
+    want = {int(i): n for i, n, _, _ in groups_by_hand(rows)}
+    assert all(found[i] <= n for i, n in want.items())
+    assert sum(found.values()) >= 0.98 * sum(want.values())
+
+
 def test_no_usable_embedding(spark):
     kind = "vec_id bigint, embedding array<float>"
     assert embedding_dedup.vector_groups(spark.createDataFrame([], kind)).collect() == []
