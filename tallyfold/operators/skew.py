@@ -190,3 +190,39 @@ def bucketed_rank(
         .withColumn(name, F.row_number().over(inside) + F.col("_before"))
         .drop(*parts, "_before")
     )
+
+
+def running_sums(
+    rows: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str | Column],
+    sums: Mapping[str, Column],
+    parts: int | None = None,
+) -> DataFrame:
+    """Add inclusive running sums over (by, order), without a task per ``by`` group.
+
+    Rows are cut into ranges of (by, order) and written with the number of their range. Sums
+    run inside a range; those of the ranges before it, one row per (by, range), are added.
+    ``order`` must tell rows apart, else equal ones share a range. ``by`` must not be null.
+    """
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *[F.col(c) for c in by], *order)
+    cut = settle(ranged.withColumn("_part", F.spark_partition_id()))
+    totals = cut.groupBy(*by, "_part").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    earlier = (
+        Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = totals.select(
+        *by, "_part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
+    )
+    inside = (
+        Window.partitionBy(*by, "_part")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    joined = cut.join(carried, [*by, "_part"])
+    return joined.select(
+        *rows.columns,
+        *[(F.sum(e).over(inside) + F.col(f"_c_{n}")).alias(n) for n, e in sums.items()],
+    )
