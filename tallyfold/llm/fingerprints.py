@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.sources.shared import settle
@@ -169,9 +169,9 @@ def _distinct(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.sort(order[new])
 
 
-def make_fingerprints(texts: list[bytes], rank: np.ndarray) -> list[str]:
-    """Fingerprint of each text. One shorter than a window is a single feature, an empty one
-    has none."""
+def make_filters(texts: list[bytes], rank: np.ndarray) -> list[tuple[int, bytes]]:
+    """(number of features, filters) of each text. One shorter than a window is a single
+    feature, an empty one has none."""
     filled = [i for i, t in enumerate(texts) if t]
     data = np.frombuffer(b"".join(texts), "uint8")
     ends = np.cumsum([len(texts[i]) for i in filled], dtype="int64")
@@ -197,16 +197,19 @@ def make_fingerprints(texts: list[bytes], rank: np.ndarray) -> list[str]:
         bits[chain, (hashes >> np.uint64(HASH_BITS * j)) & np.uint64(FILTER_BITS - 1)] = True
     packed = np.packbits(bits, axis=1)
     return [
-        f"{n[i]}:{base64.b64encode(packed[base[i] : base[i] + filters[i]].tobytes()).decode()}"
-        for i in range(len(texts))
+        (int(n[i]), packed[base[i] : base[i] + filters[i]].tobytes()) for i in range(len(texts))
     ]
 
 
-def filters_of(fingerprint: str) -> tuple[int, np.ndarray]:
+def make_fingerprints(texts: list[bytes], rank: np.ndarray) -> list[str]:
+    """Fingerprint of each text."""
+    return [f"{n}:{base64.b64encode(bits).decode()}" for n, bits in make_filters(texts, rank)]
+
+
+def unpacked(n: int, filters: bytes) -> tuple[int, np.ndarray]:
     """Number of features, and the bits of each filter as 0 or 1."""
-    n, packed = fingerprint.split(":")
-    raw = np.frombuffer(base64.b64decode(packed), "uint8").reshape(-1, FILTER_BITS // 8)
-    return int(n), np.unpackbits(raw, axis=1).astype("float32")
+    raw = np.frombuffer(filters, "uint8").reshape(-1, FILTER_BITS // 8)
+    return n, np.unpackbits(raw, axis=1).astype("float32")
 
 
 def overlap(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
@@ -232,7 +235,8 @@ def overlap(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
 
 def likeness(a: str, b: str) -> float:
     """``overlap`` of two fingerprints as text."""
-    return overlap(filters_of(a), filters_of(b))
+    pairs = [f.split(":") for f in (a, b)]
+    return overlap(*[unpacked(int(n), base64.b64decode(bits)) for n, bits in pairs])
 
 
 def fit_rarity(docs: DataFrame, text: str = "text") -> list[int]:
@@ -270,27 +274,41 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _report(rank: np.ndarray, keys: list, texts: list[str], known: list[str | None]) -> tuple[dict, list[str]]:
+Filters = tuple[int, bytes]
+
+
+def _report(
+    rank: np.ndarray, keys: list, texts: list[str], known: list[Filters | None]
+) -> tuple[dict, list[Filters]]:
     """Columns of all texts but the last, which only follows; and the fingerprints of all."""
     changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
     fresh = [t.encode() for t, f in zip(texts, known) if f is None]
-    marks = make_fingerprints(fresh + [t.encode() for t in changed], rank)
+    marks = make_filters(fresh + [t.encode() for t in changed], rank)
     made = iter(marks[: len(fresh)])
     own = [f or next(made) for f in known]
     edits = marks[len(fresh) :]
-    bits = [filters_of(f) for f in own]
+    bits = [unpacked(*f) for f in own]
     columns = {
         "key": keys,
         "n_chars": [len(t) for t in texts[:-1]],
         "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-        "fingerprint": own[:-1],
-        "edited_fingerprint": edits,
-        "near_edited": [overlap(a, filters_of(b)) for a, b in zip(bits, edits)],
+        "own": [_struct(f) for f in own[:-1]],
+        "edit": [_struct(f) for f in edits],
+        "near_edited": [overlap(a, unpacked(*b)) for a, b in zip(bits, edits)],
         "near_next": [overlap(a, b) for a, b in zip(bits, bits[1:])],
     }
     return columns, own
 
 
+def _struct(filters: Filters) -> dict:
+    return {"n": filters[0], "bits": filters[1]}
+
+
+def _as_text(filters: str) -> Column:
+    coded = F.translate(F.base64(F.col(filters)["bits"]), "\r\n", "")
+    return F.concat(F.col(filters)["n"].cast("string"), F.lit(":"), coded)
+
+
 def fingerprint_report(
     docs: DataFrame,
     key: str = "doc_id",
@@ -319,11 +337,12 @@ def fingerprint_report(
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged = ranged.select("key", "text", F.spark_partition_id().alias("part"))
     kind = rows.schema["key"].dataType.simpleString()
+    made = "struct<n: bigint, bits: binary>"
     schema = (
-        f"key {kind}, n_chars bigint, edited_sha256 string, fingerprint string, "
-        "edited_fingerprint string, near_edited double, near_next double"
+        f"key {kind}, n_chars bigint, edited_sha256 string, near_edited double, "
+        f"near_next double, own {made}, edit {made}"
     )
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = ["key", "n_chars", "edited_sha256", "near_edited", "near_next", "own", "edit"]
     outer = f"{schema}, part int, head string, tail string"
 
     def batch_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -349,16 +368,16 @@ def fingerprint_report(
                 held = (keys[-1], texts[-1], own[-1])
                 yield batch_of(columns, kinds)
         if held:
-            waiting = {"key": [held[0]], "fingerprint": [held[2]], "part": [part], "head": [head], "tail": [held[1]]}
+            waiting = {"key": [held[0]], "own": [_struct(held[2])]}
+            waiting |= {"part": [part], "head": [head], "tail": [held[1]]}
             yield batch_of(waiting, kinds)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = pa.schema([f for f in _arrow(batch.schema.field("key").type) if f.name in names])
             for row in batch.to_pylist():
-                columns, _ = _report(
-                    rank, [row["key"]], [row["tail"], row["head"]], [row["fingerprint"], None]
-                )
+                known = (row["own"]["n"], row["own"]["bits"])
+                columns, _ = _report(rank, [row["key"]], [row["tail"], row["head"]], [known, None])
                 yield batch_of(columns, kinds)
 
     done = settle(ranged.mapInArrow(stream, outer))
@@ -372,21 +391,30 @@ def fingerprint_report(
     )
     heads = tails.select(F.col("part").alias("next"), "head")
     pairs = tails.drop("head").join(numbers, "part").join(heads, "next")
-    last = pairs.select("key", "tail", "head", "fingerprint").mapInArrow(finish, schema)
+    last = pairs.select("key", "tail", "head", "own").mapInArrow(finish, schema)
     finished = done.filter(F.col("part").isNull()).select(*names)
-    return finished.unionByName(last).withColumnRenamed("key", key)
+    return finished.unionByName(last).select(
+        F.col("key").alias(key),
+        "n_chars",
+        "edited_sha256",
+        _as_text("own").alias("fingerprint"),
+        _as_text("edit").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
 
 
 def _arrow(key: pa.DataType) -> pa.Schema:
+    made = pa.struct([("n", pa.int64()), ("bits", pa.binary())])
     return pa.schema(
         [
             ("key", key),
             ("n_chars", pa.int64()),
             ("edited_sha256", pa.string()),
-            ("fingerprint", pa.string()),
-            ("edited_fingerprint", pa.string()),
             ("near_edited", pa.float64()),
             ("near_next", pa.float64()),
+            ("own", made),
+            ("edit", made),
             ("part", pa.int32()),
             ("head", pa.string()),
             ("tail", pa.string()),
