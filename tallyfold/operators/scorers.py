@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.scores import argmax_class, softmax
 from tallyfold.functions.text import tokens
+from tallyfold.operators import boosting
 from tallyfold.operators.folds import oof
 from tallyfold.operators.keys import MAX_FOLDS, NO_FOLD, fold_counts, own_fold, prior_counts
 from tallyfold.operators.skew import BROADCAST_BYTES, key_table, lookup_join
@@ -266,9 +267,18 @@ def ml_oof_scores(
     n_features: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Out-of-fold scores of one model family: k Spark fits."""
+    """Out-of-fold scores of one model family: k fits. Boosting of more than two classes
+    grows its trees on the softmax loss (``boosting``); the others are Spark's models."""
 
     def fit(train: DataFrame):
+        if kind == "boosting" and n_classes > 2:
+            size = n_features or train.first()[features].size
+            made = boosting.fit_boosted(
+                train.withColumn("_x", vector_to_array(features)), n_classes, size, x="_x", rounds=5, depth=3
+            )
+            return lambda test: boosting.boosted_scores(
+                test.withColumn("_x", vector_to_array(features)), made, "_x", keep, kind
+            )
         model = fit_scorer(
             train, kind, n_classes, features, n_features=n_features, seed=seed
         )

@@ -13,10 +13,12 @@ from tallyfold.functions.scores import argmax_class, gated_decide, max_prob
 from tallyfold.functions.text import pattern_key
 from tallyfold.operators import (
     align,
+    boosting,
     byte_features,
     decisions,
     ensemble,
     folds,
+    fusion,
     keys,
     log_features,
     manifests,
@@ -289,8 +291,8 @@ def tabular_vector(spark, sf):
 # --- scorers and ensembles --------------------------------------------------------
 
 
-def _block_scores(spark, sf, seeds=t.SEEDS) -> DataFrame:
-    rows = t.vectors(spark, sf)
+def _block_scores(spark, sf, seeds=t.SEEDS, samples=t.vectors) -> DataFrame:
+    rows = samples(spark, sf)
     model = scorers.fit_centroids(rows, "x", "y", "fold", K)
     return scorers.score_centroids(
         rows, model, "x", ["id", "y"], "fold", t.block_candidates(seeds)
@@ -390,6 +392,26 @@ def tabular_ml_scores(spark, sf):
     return _score_check(folds.oof(rows, 2, fit), _accuracy(len(t.STATUSES)).isNotNull())
 
 
+def boosted_splits(spark, sf):
+    rows = t.vectors(spark, sf)
+    out = boosting.first_splits(rows, K, t.DIMENSIONS, depth=3, n_bins=16)
+    return out.withColumn("threshold", r6("threshold")).withColumn("gain", r6("gain"))
+
+
+def boosted_scores(spark, sf):
+    """Two rounds of ten trees, fitted without fold 0."""
+    rows = t.vectors(spark, sf)
+    model = boosting.fit_boosted(
+        rows.filter(F.col("fold") > 0), K, t.DIMENSIONS, rounds=2, depth=3, n_bins=16
+    )
+    out = boosting.boosted_scores(rows, model, keep=["id"])
+    return out.select(
+        "id",
+        argmax_class(F.col("probs"), K).alias("y_hat"),
+        r6(max_prob(F.col("probs")), "confidence"),
+    )
+
+
 def model_reload_same_scores(spark, sf):
     rows = t.vectors(spark, sf).withColumn(
         "features", array_to_vector(F.col("x").cast("array<double>"))
@@ -451,6 +473,19 @@ def simplex_fusion(spark, sf):
     return out.select("rank", *[f"w_{b}" for b in t.BLOCKS], r6("macro_f1"))
 
 
+def simplex_line_search(spark, sf):
+    """From the even mixture towards each candidate."""
+    scores = _block_scores(spark, sf, (t.WHOLE,), t.corners)
+    wide = settle(ensemble.wide_scores(scores, t.BLOCKS, keep=["y"]))
+    out = fusion.line_search(wide, t.BLOCKS, [0.25] * 4, K)
+    return out.select("towards", "n_intervals", r6("t"), r6("macro_f1"), r6("start_f1"))
+
+
+def greedy_ensemble(spark, sf):
+    out = fusion.greedy_selection(_block_scores(spark, sf, samples=t.corners), K, steps=6)
+    return out.select("step", "candidate", F.col("seed").cast("int").alias("seed"), r6("macro_f1"))
+
+
 def stack_fusion(spark, sf):
     rows = folds.assign_folds(_wide(spark, sf), 2, ["id"])
     out = scorers.stack_scores(rows, t.BLOCKS, 2, K)
@@ -648,11 +683,15 @@ QUERIES = {
         ml_scores,
         text_ml_scores,
         tabular_ml_scores,
+        boosted_splits,
+        boosted_scores,
         model_reload_same_scores,
         seed_ensemble,
         metric_by_seed,
         adaptive_ensemble,
         simplex_fusion,
+        simplex_line_search,
+        greedy_ensemble,
         stack_fusion,
         class_guard,
         candidate_select,

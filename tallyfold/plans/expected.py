@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyfold.plans import expected_models as models
 from tallyfold.plans.catalog import BANDS, GRID
 from tallyfold.plans.tables import BLOCKS, MANY, WHOLE, block_candidates, seeded_candidates
 
@@ -461,6 +462,14 @@ SQL = {
     "centroid_scores": f"""with {_centroid_probs([('all', 0, list(range(64)))])}
         select id, fold, c as class, round(p, 6) as p from p""",
     "nb_scores": f"""with {BAYES} select id as doc_id, fold, y, round(p1, 6) as p1 from nb""",
+    "simplex_line_search": models.simplex_line_search(
+        WHOLE_BLOCKS.replace("label as y", f"{models.CORNER} as y"), BLOCKS
+    ),
+    "greedy_ensemble": models.greedy_ensemble(
+        ALL_BLOCKS.replace("label as y", f"{models.CORNER} as y")
+    ),
+    "boosted_splits": models.boosted_splits(_fold("vec_id")),
+    "boosted_scores": models.boosted_scores(_fold("vec_id")),
     "ml_scores": f"""select unnest(['logistic', 'forest', 'mlp', 'boosting']) as candidate, *
         from (select count(*) as n_rows, count(distinct vec_id) as n_ids, {SOUND} from embeddings)""",
     "text_ml_scores": f"""select 'logistic' as candidate, count(*) as n_rows,

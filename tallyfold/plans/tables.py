@@ -17,6 +17,7 @@ FOLDS = 5
 STATUSES = ("F", "O", "P")
 FLAGS = ("A", "N", "R")
 VECTOR_CLASSES = 10
+DIMENSIONS = 64
 MANY = 87
 QUALITY_CLASSES = 2
 BLOCKS = tuple(f"block{b}" for b in range(4))
@@ -147,6 +148,14 @@ def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_out(rows.withColumn("y", side.cast("int")), "id")
 
 
+def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, y, x, fold: the class is the largest of ten dimensions from all blocks, which
+    candidates that see one block can learn in part."""
+    rows = vectors(spark, sf_dir)
+    ten = [F.get("x", F.lit(7 * c)) for c in range(VECTOR_CLASSES)]
+    return rows.withColumn("y", (F.array_position(F.array(*ten), F.greatest(*ten)) - 1).cast("int"))
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> str:
     """The documents as a tree of files, some hidden; returns its root."""
     docs = table(spark, sf_dir, "documents")
