@@ -15,6 +15,7 @@ from tallyfold.operators import (
     align,
     boosting,
     byte_features,
+    curves,
     decisions,
     ensemble,
     folds,
@@ -526,6 +527,28 @@ def threshold_sweep(spark, sf):
     return out.select("threshold", "tp", "fp", "fn", "tn", *[r6(c) for c in ratios], "best")
 
 
+def _shares(spark, sf) -> DataFrame:
+    """Orders with their key's share of class F in the other folds as a score."""
+    rows = t.orders(spark, sf).withColumn("y", (F.col("y") == "F").cast("int"))
+    scored = keys.lookup_candidate(rows, "key", "y", "fold", [0, 1], "id", t.FOLDS)
+    return scored.select("id", "y", "fold", F.col("probs")[1].alias("p"))
+
+
+def threshold_curve(spark, sf):
+    out = curves.threshold_curve(_shares(spark, sf))
+    return out.select(r6("threshold"), "tp", "fp", "fn", "tn", r6("precision"), r6("recall"), r6("f1"))
+
+
+def threshold_summary(spark, sf):
+    out = curves.threshold_summary(_shares(spark, sf))
+    return out.select("n_thresholds", *[r6(c) for c in out.columns[1:]])
+
+
+def calibrated_scores(spark, sf):
+    out = curves.calibrated_oof(_shares(spark, sf), t.FOLDS)
+    return out.select("id", "fold", "y", r6("p"), r6("calibrated"))
+
+
 def gated_decision(spark, sf):
     first = lambda c: F.get(c, F.lit(0))
     p_label = 1.0 - (first("block0") + first("block1")) / 2
@@ -697,6 +720,9 @@ QUERIES = {
         candidate_select,
         selected_submission,
         threshold_sweep,
+        threshold_curve,
+        threshold_summary,
+        calibrated_scores,
         gated_decision,
         pseudo_label,
         pseudo_label_capped,

@@ -60,6 +60,7 @@ STATUSES = ["'F'", "'O'", "'P'"]
 FLAGS = ["'A'", "'N'", "'R'"]
 ORDER_PRED = _lookup(_orders(), STATUSES)
 LINE_PRED = _lookup(LINES, FLAGS)
+FIRST_CLASS = _lookup(_orders().replace("o_orderstatus as y", "(o_orderstatus = 'F')::int as y"), ["0", "1"])
 
 
 def _per_class(pred: str, where: str = "true", extra: str = "") -> str:
@@ -468,6 +469,9 @@ SQL = {
     "greedy_ensemble": models.greedy_ensemble(
         ALL_BLOCKS.replace("label as y", f"{models.CORNER} as y")
     ),
+    "threshold_curve": models.threshold_curve(FIRST_CLASS),
+    "threshold_summary": models.threshold_summary(FIRST_CLASS),
+    "calibrated_scores": models.calibrated_scores(FIRST_CLASS),
     "boosted_splits": models.boosted_splits(_fold("vec_id")),
     "boosted_scores": models.boosted_scores(_fold("vec_id")),
     "ml_scores": f"""select unnest(['logistic', 'forest', 'mlp', 'boosting']) as candidate, *
