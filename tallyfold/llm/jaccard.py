@@ -6,9 +6,9 @@ set's shingles in order of rarity, a partner must share K of the first n - T + K
 
 - Short lists are merged by a join: pairs that meet in K of them, and whose places leave room
   for enough common shingles, are compared in full.
-- Long lists belong to large groups of like texts. Their sets are cut into blocks; two blocks
-  that share a long list meet in one task, which searches one block for the sets of the other
-  by DivideSkip: a heap merges the short lists of a query, the long ones are only probed, by
+- Long lists belong to large groups of like texts. Their sets are cut into blocks; where two
+  blocks share a long list, the sets of these lists meet in one task, which searches those of
+  one block for those of the other by DivideSkip: a heap merges the short lists of a query, the long ones are only probed, by
   bisection, for the sets that survive. A task returns a spanning forest of the links it
   found, so the number of rows doesn't grow with the pairs in a group.
 
@@ -39,7 +39,7 @@ PERCENT = 85
 SKETCH_BITS = 18
 COMMON = 4
 SHORT_LIST = 16
-BLOCK_SHINGLES = 96_000
+BLOCK_SHINGLES = 1_000_000
 BROADCAST_ROWS = 1_000_000
 PROBED = 32
 
@@ -314,19 +314,21 @@ def near_duplicates(
     )
     links = _compared(pairs, sets_of, percent)
 
-    in_lists = hot.join(blocks, "node").select("h", "block").distinct()
-    met = (
-        in_lists.join(in_lists.withColumnRenamed("block", "other"), "h")
-        .filter("block <= other")
-        .select("block", "other")
+    # a set goes to a pair of blocks only if one of its own long lists reaches the other block
+    placed = settle(hot.select("h", "node").join(blocks, "node"))
+    reached = placed.select("h", F.col("block").alias("other")).distinct()
+    copies = (
+        placed.join(reached, "h")
+        .select(
+            "node",
+            F.least("block", "other").alias("block"),
+            F.greatest("block", "other").alias("other"),
+            (F.col("block") > F.col("other")).cast("int").alias("side"),
+        )
         .distinct()
     )
-    sides = met.select("block", "other", F.lit(0).alias("side"), F.col("block").alias("of")).union(
-        met.filter("block != other").select("block", "other", F.lit(1), F.col("other"))
-    )
-    of_blocks = sets_of.join(blocks, "node").withColumnRenamed("block", "of")
     by_block = (
-        sides.join(of_blocks, "of")
+        copies.join(sets_of, "node")
         .select("block", "other", "side", "node", "hashes")
         .groupBy("block", "other")
         .applyInPandas(link_blocks(percent), "a bigint, b bigint")
