@@ -150,11 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         .filter(F.col("n") >= MIN_DOCS)
         .orderBy(F.desc("n"), "feature")
         .limit(MAX_FEATURES)
-        .collect()
+        .toArrow()
     )
-    number = {r["feature"]: i for i, r in enumerate(seen)}
-    good = np.array([r["good"] for r in seen], float)
-    bad = np.array([r["n"] for r in seen], float) - good
+    names = seen["feature"].to_pylist()
+    number = {name: i for i, name in enumerate(names)}
+    good = seen["good"].to_numpy().astype(float)
+    bad = seen["n"].to_numpy().astype(float) - good
     ratio = np.log((good + 1) / (good + 1).sum()) - np.log((bad + 1) / (bad + 1).sum())
     shared = docs.sparkSession.sparkContext.broadcast(number)
 
@@ -166,18 +167,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         ]
         return {"found": pa.array(found, pa.list_(pa.int32()))}
 
-    rows, y, left_out = [], [], []
-    for r in map_texts(sample, "text", "found array<int>", numbered).orderBy("id", "y", F.size("found")).collect():
-        index = np.array(r["found"], np.int64)
-        value = ratio[index]
-        norm = np.sqrt(value @ value)
-        rows.append((index, value / norm if norm else value))
-        y.append(2 * r["y"] - 1)
-        left_out.append(r["id"] % 4 == 0)
+    # flat arrays: the n-grams of all rows one after the other, four bytes each
+    listed_rows = map_texts(sample, "text", "found array<int>", numbered)
+    told = listed_rows.orderBy("id", "y", F.size("found")).toArrow().combine_chunks()
+    shared.destroy()
+    rows = []
+    if told.num_rows:
+        found = told["found"].combine_chunks()
+        index, ends = found.flatten().to_numpy(), found.offsets.to_numpy() - found.offsets[0].as_py()
+        for start, end in zip(ends[:-1], ends[1:]):
+            value = ratio[index[start:end]]
+            norm = np.sqrt(value @ value)
+            rows.append((index[start:end], value / norm if norm else value))
+    y = 2 * told["y"].to_numpy().astype(int) - 1
+    left_out = told["id"].to_numpy() % 4 == 0
     if not rows:
         share = (counts[1] + 1) / (total + 2)
         return Model(offset=float(np.log(share / (1 - share))))
-    y, left_out = np.array(y), np.array(left_out)
     balance = np.where(y > 0, len(y) / 2 / max(1, (y > 0).sum()), len(y) / 2 / max(1, (y < 0).sum()))
     learn = np.flatnonzero(~left_out) if len(set(y[~left_out])) == 2 else np.arange(len(y))
     w = dual_coordinate_descent([rows[i] for i in learn], y[learn], len(number), COST * balance[learn])
@@ -189,9 +195,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def back(feature: str):
         return tuple(feature.split(" ")) if " " in feature else feature
 
+    grams_of_model = [back(f) for f in names]
     return Model(
-        {back(f): float(ratio[i] * w[i]) for f, i in number.items()},
-        {back(f): float(ratio[i]) for f, i in number.items()},
+        dict(zip(grams_of_model, (ratio * w[:-1]).tolist())),
+        dict(zip(grams_of_model, ratio.tolist())),
         float(w[-1]),
         slope,
         offset,
