@@ -235,3 +235,53 @@ def lookup_confusion(
         .filter(F.col("n") > 0)
         .select("y", "y_hat", "n")
     )
+
+
+def backoff_scores(
+    df: DataFrame,
+    tokens: str,
+    y: str,
+    fold: str,
+    n_classes: int,
+    id_col: str,
+    n_folds: int,
+    depth: int = 6,
+    pull: float = 2.0,
+) -> DataFrame:
+    """(id, y, fold, level, probs): class shares of the longest token prefix that occurs with
+    a label in other folds, each level drawn towards the one above it.
+
+    Prefixes of 0 to ``depth`` tokens form a trie. At each level with labels left, the shares
+    are (count + ``pull`` x share above) / (all + ``pull``); the root starts even. ``level`` is
+    the length of the longest prefix used, -1 without any label. A null array has no tokens.
+    An id's prefixes are at most depth + 1 rows; keys are joined as in every lookup here.
+    """
+    classes = list(range(n_classes))
+    known = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    upto = F.sequence(F.lit(0), F.least(F.size(known), F.lit(depth)))
+    rows = df.select(
+        F.col(id_col).alias("id"),
+        F.col(y).alias("y"),
+        own_fold(y, fold, n_folds).alias("fold"),
+        F.explode(upto).alias("level"),
+        known.alias("_tokens"),
+    ).select("id", "y", "fold", "level", F.concat_ws(" ", F.slice("_tokens", F.lit(1), F.col("level"))).alias("prefix"))
+    # tokens have no blanks, so a prefix tells its length
+    counted = key_table(fold_counts(rows, "prefix", "y", "fold", classes, n_folds))
+    shares = counted.select("prefix", "_fold", "n_rows", *[f"l{c}" for c in classes])
+    found = lookup_join(rows.withColumn("_fold", F.col("fold")), shares, ["prefix", "_fold"], ["id", "level"])
+    counts = F.array(*[F.coalesce(F.col(f"l{c}"), F.lit(0)) for c in classes])
+    by_id = found.groupBy("id", "y", "fold").agg(
+        F.array_sort(F.collect_list(F.struct("level", counts.alias("counts")))).alias("levels")
+    )
+    even = F.struct(F.lit(-1).alias("level"), F.array(*[F.lit(1.0 / n_classes)] * n_classes).alias("probs"))
+
+    def step(state, at):
+        total = F.aggregate(at["counts"], F.lit(0).cast("bigint"), lambda a, n: a + n)
+        probs = F.zip_with(at["counts"], state["probs"], lambda n, p: (n + F.lit(pull) * p) / (total + F.lit(pull)))
+        deeper = F.struct(at["level"].alias("level"), probs.alias("probs"))
+        return F.when(total > 0, deeper).otherwise(state)
+
+    return by_id.withColumn("_end", F.aggregate("levels", even, step)).select(
+        "id", "y", "fold", F.col("_end.level").alias("level"), F.col("_end.probs").alias("probs")
+    )

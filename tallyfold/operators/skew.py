@@ -226,3 +226,32 @@ def running_sums(
         *rows.columns,
         *[(F.sum(e).over(inside) + F.col(f"_c_{n}")).alias(n) for n, e in sums.items()],
     )
+
+
+def previous_values(
+    rows: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    values: Mapping[str, str],
+    parts: int | None = None,
+) -> DataFrame:
+    """Add, under the new names, columns of the row before in (by, order); null for a group's
+    first row. As in ``running_sums``, rows are cut into ranges; a range's first row of a
+    group takes the last one of an earlier range. ``order`` must tell rows apart."""
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *[F.col(c) for c in (*by, *order)])
+    cut = settle(ranged.withColumn("_part", F.spark_partition_id()))
+    kept = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+    lasts = cut.groupBy(*by, "_part").agg(F.max_by(kept, F.struct(*order)).alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy("_part")
+    carried = lasts.select(*by, "_part", F.lag("_last").over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order)
+    first = F.row_number().over(inside) == 1
+    return cut.join(carried, [*by, "_part"]).select(
+        *rows.columns,
+        *[
+            F.when(first, F.col("_carried")[n]).otherwise(F.lag(c).over(inside)).alias(n)
+            for n, c in values.items()
+        ],
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions.scores import argmax_class, gated_decide, max_prob
-from tallyfold.functions.text import pattern_key
+from tallyfold.functions.text import pattern_key, tokens
 from tallyfold.operators import (
     align,
     boosting,
@@ -25,7 +25,9 @@ from tallyfold.operators import (
     manifests,
     metrics,
     registry,
+    resampling,
     scorers,
+    sessions,
     submissions,
     tabular,
     text_features,
@@ -104,6 +106,21 @@ def flip_matrix(spark, sf):
     )
 
 
+def _resampled(spark, sf):
+    coarse, fine = (t.order_predictions(spark, sf, key) for key in ("coarse", "key"))
+    return resampling.bootstrap_pair(coarse, fine, t.STATUSES, 25)
+
+
+def bootstrap_replicates(spark, sf):
+    out = _resampled(spark, sf)
+    return out.select("replicate", *[r6(c) for c in out.columns[1:]])
+
+
+def bootstrap_interval(spark, sf):
+    out = resampling.interval(_resampled(spark, sf))
+    return out.select("n_replicates", *[r6(c) for c in out.columns[1:]])
+
+
 def _line_submission(spark, sf):
     return t.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("y_hat")
@@ -280,6 +297,17 @@ def log_rare_template(spark, sf):
     return out.select("event_id", "template", "template_n", r6("template_share"), "is_rare")
 
 
+def session_surprise(spark, sf):
+    out = sessions.session_surprise(t.events(spark, sf), "user_id", "event_type", "12 hours")
+    return out.select("user_id", "session", "started", "ended", "n_events", r6("surprise"))
+
+
+def pattern_backoff(spark, sf):
+    rows = t.labelled_texts(spark, sf).withColumn("tokens", tokens(F.col("text"))).drop("text")
+    out = keys.backoff_scores(rows, "tokens", "y", "fold", t.QUALITY_CLASSES, "id", t.FOLDS)
+    return out.select(F.col("id").alias("doc_id"), "y", "level", r6(F.col("probs")[1], "p1"))
+
+
 def tabular_vector(spark, sf):
     rows = t.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderpriority", "o_orderstatus"
@@ -683,6 +711,8 @@ QUERIES = {
         many_class_confusion,
         class_delta,
         flip_matrix,
+        bootstrap_replicates,
+        bootstrap_interval,
         submission_check,
         validation_report,
         submission_roundtrip,
@@ -700,6 +730,8 @@ QUERIES = {
         log_hour_counts,
         log_zscore,
         log_rare_template,
+        session_surprise,
+        pattern_backoff,
         tabular_vector,
         centroid_scores,
         nb_scores,

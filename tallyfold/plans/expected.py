@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyfold.operators.resampling import EDGES
 from tallyfold.plans import expected_models as models
 from tallyfold.plans.catalog import BANDS, GRID
 from tallyfold.plans.tables import BLOCKS, MANY, WHOLE, block_candidates, seeded_candidates
@@ -60,6 +61,7 @@ STATUSES = ["'F'", "'O'", "'P'"]
 FLAGS = ["'A'", "'N'", "'R'"]
 ORDER_PRED = _lookup(_orders(), STATUSES)
 LINE_PRED = _lookup(LINES, FLAGS)
+TWO_PREDICTIONS = (_lookup(_orders("coarse"), STATUSES, "a"), _lookup(_orders(), STATUSES, "b"))
 FIRST_CLASS = _lookup(_orders().replace("o_orderstatus as y", "(o_orderstatus = 'F')::int as y"), ["0", "1"])
 
 
@@ -472,6 +474,10 @@ SQL = {
     "threshold_curve": models.threshold_curve(FIRST_CLASS),
     "threshold_summary": models.threshold_summary(FIRST_CLASS),
     "calibrated_scores": models.calibrated_scores(FIRST_CLASS),
+    "session_surprise": models.SESSIONS,
+    "pattern_backoff": models.pattern_backoff(TEXT_SAMPLES, TOKEN),
+    "bootstrap_replicates": models.bootstrap_replicates(*TWO_PREDICTIONS, EDGES),
+    "bootstrap_interval": models.bootstrap_interval(*TWO_PREDICTIONS, EDGES),
     "boosted_splits": models.boosted_splits(_fold("vec_id")),
     "boosted_scores": models.boosted_scores(_fold("vec_id")),
     "ml_scores": f"""select unnest(['logistic', 'forest', 'mlp', 'boosting']) as candidate, *
