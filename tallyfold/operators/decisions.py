@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.scores import argmax_class, max_prob, quantise, quantised
-from tallyfold.operators.skew import bucketed_rank
 from tallyfold.sources.shared import small_table
 
 
@@ -92,8 +91,8 @@ def pseudo_label(
     """(id, y_hat, confidence) of the rows sure enough to be used as labels.
 
     ``per_class_cap`` keeps the surest rows of each class: by confidence in whole
-    thousandths, then by md5 of the id. The rank is exact, and each thousandth of a class
-    is ranked in 65,536 parts, so a confidence that most rows share is split as well.
+    thousandths, then by md5 of the id. Each thousandth of a class is counted in 65,536
+    parts; only parts that hold the first rows are ranked, each for itself.
     """
     sure = with_confidence(scores, n_classes).filter(
         quantise(F.col("confidence")) >= F.lit(quantised(threshold))
@@ -104,14 +103,27 @@ def pseudo_label(
     keyed = picked.withColumn(
         "_step", -F.floor(quantise(F.col("confidence")) / 1_000_000)
     ).withColumn("_m", F.md5(F.col(id_col).cast("string")))
-    ranked = bucketed_rank(
-        keyed,
-        ["y_hat"],
-        [F.col("_step"), F.substring("_m", 1, 4)],
-        [F.col("_m"), F.col(id_col)],
-        "_rank",
-    )
-    return ranked.filter(F.col("_rank") <= per_class_cap).drop("_rank", "_step", "_m")
+    cut = keyed.withColumn("_part", F.coalesce(F.substring("_m", 1, 4), F.lit("")))
+    before = (
+        Window.partitionBy("y_hat")
+        .orderBy("_step", "_part")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    # every part has a row, so at most per_class_cap parts of a class hold the first rows
+    parts = (
+        cut.groupBy("y_hat", "_step", "_part")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .filter(F.col("_before") < per_class_cap)
+        .drop("_n")
+    )
+    inside = Window.partitionBy("y_hat", "_step", "_part").orderBy("_m", id_col)
+    return (
+        cut.join(parts, ["y_hat", "_step", "_part"])
+        .withColumn("_rank", F.row_number().over(inside) + F.col("_before"))
+        .filter(F.col("_rank") <= per_class_cap)
+        .select(id_col, "y_hat", "confidence")
+    )
 
 
 def pseudo_coverage(

@@ -203,7 +203,8 @@ def running_sums(
 
     Rows are cut into ranges of (by, order) and written with the number of their range. Sums
     run inside a range; those of the ranges before it, one row per (by, range), are added.
-    ``order`` must tell rows apart, else equal ones share a range. ``by`` must not be null.
+    ``order`` must tell rows apart, else equal ones share a range. ``by`` must not be null;
+    null values add nothing.
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -224,7 +225,10 @@ def running_sums(
     joined = cut.join(carried, [*by, "_part"])
     return joined.select(
         *rows.columns,
-        *[(F.sum(e).over(inside) + F.col(f"_c_{n}")).alias(n) for n, e in sums.items()],
+        *[
+            (F.coalesce(F.sum(e).over(inside), F.lit(0)) + F.col(f"_c_{n}")).alias(n)
+            for n, e in sums.items()
+        ],
     )
 
 
