@@ -6,14 +6,17 @@ set's shingles in order of rarity, a partner must share K of the first n - T + K
 
 - Short lists are merged by a join: pairs that meet in K of them, and whose places leave room
   for enough common shingles, are compared in full.
-- Long lists belong to large groups of like texts. Their sets are cut into blocks; where two
-  blocks share a long list, the sets of these lists meet in one task, which searches those of
-  one block for those of the other by DivideSkip: a heap merges the short lists of a query, the long ones are only probed, by
-  bisection, for the sets that survive. A task returns a spanning forest of the links it
-  found, so the number of rows doesn't grow with the pairs in a group.
-
-Every pair either shares a long list (and meets in its blocks) or none (and meets in K short
-ones), so no link is missed, whatever the lengths of lists.
+- Long lists belong to large groups of like texts. First each of their sets is compared with
+  the chief (one set, by a hash) of the lists it is in; what is linked so is connected already.
+  Lists whose sets are all connected need no search. The sets of the others are cut into
+  blocks; where two blocks share such a list, its sets that aren't connected meet in one task,
+  which searches those of one block for those of the other by DivideSkip: a heap merges the
+  short lists of a query, the long ones are only probed, by bisection, for the sets that
+  survive. A task returns a spanning forest of the links it found, so the number of rows
+  doesn't grow with the pairs in a group.
+
+Every pair either shares a long list (and is connected already or meets in its blocks) or none
+(and meets in K short ones), so no component is missed, whatever the lengths of lists.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import map_texts
 from tallyfold.llm.components import components, forest
 from tallyfold.llm.shingles import WordHashes, ngram_hashes
+from tallyfold.operators.skew import lookup_join
 from tallyfold.sources.shared import settle
 
 SHINGLE = 4
@@ -39,6 +43,7 @@ PERCENT = 85
 SKETCH_BITS = 18
 COMMON = 4
 SHORT_LIST = 16
+CHIEFS = 2
 BLOCK_SHINGLES = 1_000_000
 BROADCAST_ROWS = 1_000_000
 PROBED = 32
@@ -180,7 +185,7 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, n: int) ->
 
 
 def _short_list_pairs(lists: DataFrame, percent: int, short: int) -> DataFrame:
-    """Pairs (a, b) that meet in enough short lists and can still be similar."""
+    """Pairs (a, b, n of b) that meet in enough short lists and can still be similar."""
     side = lists.filter(F.col("m") <= short).select("h", "node", "n", "pos")
     other = side.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos")])
     met = (
@@ -198,37 +203,76 @@ def _short_list_pairs(lists: DataFrame, percent: int, short: int) -> DataFrame:
     need = F.ceil(percent * (F.col("n") + F.col("n_b")) / (100 + percent))
     room = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) - 1
     return met.filter((F.col("s") >= F.least(F.lit(COMMON), need)) & (F.col("s") + room >= need)).select(
-        F.col("node").alias("a"), F.col("node_b").alias("b")
+        F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("n_b").alias("n")
     )
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar, by their whole sets."""
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b"
+def _chief_pairs(hot: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n of b) of a set b of long lists and a chief: those of most of its lists."""
+    met = (
+        hot.filter(f"node != chief and 100 * n >= {percent} * chief_n and 100 * chief_n >= {percent} * n")
+        .groupBy("node", "chief")
+        .agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"))
+    )
+    best = Window.partitionBy("node").orderBy(F.desc("s"), "chief")
+    return (
+        met.withColumn("r", F.row_number().over(best))
+        .filter(F.col("r") <= CHIEFS)
+        .select(F.col("chief").alias("a"), F.col("node").alias("b"), "n")
+    )
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """The pairs (a, b) that are similar, by their whole sets.
+
+    The pairs of a set ``a`` stand together, so it is sent once for about ``block_shingles``
+    shingles of its partners. A task holds one such set and reads the partners past it.
+    """
+    parts = (
+        pairs.groupBy("a")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.ceil(F.sum(F.col("n") + 64) / block_shingles).alias("parts"))
+        .filter("parts > 1")
+    )
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    dealt = settle(lookup_join(pairs, parts, ["a"], ["b"]).select("a", "b", part))
+    sent = dealt.select("a", "part", F.lit(1).alias("side"), F.col("b").alias("node")).union(
+        dealt.select("a", "part", F.lit(0), "a").distinct()
+    )
+    met = (
+        sent.join(sets, "node")
+        .select("a", "part", "side", "node", "hashes")
+        .repartition("a", "part")
+        .sortWithinPartitions("a", "part", "side")
     )
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.searchsorted(p, q)
-                at[at == len(p)] = 0
-                both = int((p[at] == q).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(
+            for side, hashes in zip(batch.column(2).to_pylist(), batch.column(4)):
+                if not side:
+                    own = np.frombuffer(hashes.as_py(), np.uint64)
+                    keep.append(False)
+                    continue
+                other = np.frombuffer(hashes.as_buffer(), np.uint64)
+                at = np.searchsorted(own, other)
+                at[at == len(own)] = 0
+                both = int((own[at] == other).sum())
+                keep.append(100 * both >= percent * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(
                 pa.array(keep, pa.bool_())
             )
 
-    return joined.select("a", "b", "of_a", "of_b").mapInArrow(similar, "a bigint, b bigint")
+    return met.mapInArrow(similar, "a bigint, b bigint")
 
 
 def _blocks(hot: DataFrame, block_shingles: int) -> DataFrame:
-    """(node, block) for nodes in long lists, those of one list near each other. A block has
-    about ``block_shingles`` shingles, however many partitions the nodes come in."""
-    nodes = hot.groupBy("node").agg(F.max(F.struct("m", "h")).alias("list"), F.first("n").alias("n"))
-    ordered = nodes.select("node", "n", "list.h").repartitionByRange("h", "node").sortWithinPartitions("h", "node")
+    """(node, block) for nodes in long lists, those of one list and of one component near each
+    other. A block has about ``block_shingles`` shingles, however many partitions the nodes
+    come in."""
+    nodes = hot.groupBy("node", "component").agg(F.max(F.struct("m", "h")).alias("list"), F.first("n").alias("n"))
+    order = ("h", "component", "node")
+    ordered = nodes.select("node", "n", "list.h", "component").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def measured(batches):
         part, size = TaskContext.get().partitionId(), 0
@@ -267,7 +311,8 @@ def near_duplicates(
     100 or more, the row itself included. Texts that are null or without words have no
     shingles and link with nothing. Rows with equal texts link, also if they have the same
     key; a null key is never the least, so a component of null keys alone has a null id.
-    ``short_list`` and ``block_shingles`` set where a pair is found, never whether.
+    ``short_list`` and ``block_shingles`` set where a pair is found, never whether it is
+    connected.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
@@ -302,23 +347,38 @@ def near_duplicates(
         .withColumn("node", F.monotonically_increasing_id())
     )
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    lengths = postings.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    first_by_hash = F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n"))
+    lengths = (
+        postings.groupBy("h")
+        .agg(F.count(F.lit(1)).alias("m"), first_by_hash.alias("chief"))
+        .filter("m > 1")
+        .withColumn("chief", F.when(F.col("m") > short_list, F.col("chief")))
+        .select("h", "m", F.col("chief.node").alias("chief"), F.col("chief.n").alias("chief_n"))
+    )
     lists = settle(postings.join(lengths, "h"))
 
-    pairs = settle(_short_list_pairs(lists, percent, short_list))
     hot = lists.filter(F.col("m") > short_list)
-    blocks = _blocks(hot, block_shingles)
-    needed = pairs.select("a").union(pairs.select("b")).union(blocks.select("node")).distinct()
-    sets_of = settle(
-        _sets_of(nodes.join(needed.withColumnRenamed("a", "node"), "node", "left_semi"), rows, "key", "text", shingle)
+    pairs = settle(_short_list_pairs(lists, percent, short_list).union(_chief_pairs(hot, percent)))
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
+    sets_of = settle(_sets_of(nodes.join(needed, "node", "left_semi"), rows, "key", "text", shingle))
+    tied = components(_compared(pairs, sets_of, percent, block_shingles))
+
+    # lists whose sets aren't connected yet
+    member = hot.select("h", "m", "node", "n").join(tied, "node", "left")
+    member = settle(member.withColumn("component", F.coalesce("component", "node")))
+    split = F.min("component") < F.max("component")
+    still = member.groupBy("h").agg(split.alias("split")).filter("split").select("h")
+    rest = settle(member.join(still, "h", "left_semi"))
+
+    # a set goes to a pair of blocks only if, by a list of its own, the other block holds a set
+    # it isn't connected with
+    placed = settle(rest.select("h", "node", "component").join(_blocks(rest, block_shingles), "node"))
+    reached = placed.groupBy("h", F.col("block").alias("other")).agg(
+        F.min("component").alias("least"), F.max("component").alias("most")
     )
-    links = _compared(pairs, sets_of, percent)
-
-    # a set goes to a pair of blocks only if one of its own long lists reaches the other block
-    placed = settle(hot.select("h", "node").join(blocks, "node"))
-    reached = placed.select("h", F.col("block").alias("other")).distinct()
     copies = (
         placed.join(reached, "h")
+        .filter("least < most or least != component")
         .select(
             "node",
             F.least("block", "other").alias("block"),
@@ -333,7 +393,7 @@ def near_duplicates(
         .groupBy("block", "other")
         .applyInPandas(link_blocks(percent), "a bigint, b bigint")
     )
-    tied = components(links.union(by_block))
+    tied = components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(by_block))
 
     label = (
         nodes.select("node", "least")
