@@ -6,14 +6,15 @@ set's shingles in order of rarity, a partner must share K of the first n - T + K
 
 - Short lists are merged by a join: pairs that meet in K of them, and whose places leave room
   for enough common shingles, are compared in full.
-- Long lists belong to large groups of like texts. First each of their sets is compared with
-  the chief (one set, by a hash) of the lists it is in; what is linked so is connected already.
-  Lists whose sets are all connected need no search. The sets of the others are cut into
-  blocks; where two blocks share such a list, its sets that aren't connected meet in one task,
-  which searches those of one block for those of the other by DivideSkip: a heap merges the
-  short lists of a query, the long ones are only probed, by bisection, for the sets that
-  survive. A task returns a spanning forest of the links it found, so the number of rows
-  doesn't grow with the pairs in a group.
+- Long lists belong to large groups of like texts. First each of their sets is searched for in
+  a panel: a few sets, by a hash, of its longest list. What is linked so is connected already,
+  and lists whose sets are all connected need no search. In each of the others, all sets are
+  searched for among those outside its largest component, which are cut into blocks.
+
+A task holds a panel or a block, reads the other sets past it, and searches by DivideSkip: a heap
+merges the short lists of a query, the long ones are only probed, by bisection, for the sets that
+survive. It returns a spanning forest of the links of each batch, so the number of rows doesn't
+grow with the pairs in a group.
 
 Every pair either shares a long list (and is connected already or meets in its blocks) or none
 (and meets in K short ones), so no component is missed, whatever the lengths of lists.
@@ -26,7 +27,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -43,7 +43,7 @@ PERCENT = 85
 SKETCH_BITS = 18
 COMMON = 4
 SHORT_LIST = 16
-CHIEFS = 2
+PANEL = 64
 BLOCK_SHINGLES = 1_000_000
 BROADCAST_ROWS = 1_000_000
 PROBED = 32
@@ -146,27 +146,6 @@ class Lists:
         return sets[100 * counts >= percent * (len(query) + self.sizes[sets] - counts)]
 
 
-def link_blocks(percent: int):
-    """Links between the sets of two blocks (or inside one), as a spanning forest."""
-
-    def linked(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [group[group["side"] == s] for s in (0, 1)]
-        base = [np.frombuffer(s, np.uint64) for s in sides[0]["hashes"]]
-        nodes = sides[0]["node"].to_numpy()
-        queries = sides[1] if len(sides[1]) else sides[0]
-        lists = Lists(base)
-        a, b = [], []
-        for node, hashes in zip(queries["node"].to_numpy(), queries["hashes"]):
-            for i in lists.search(np.frombuffer(hashes, np.uint64), percent):
-                if nodes[i] != node:
-                    a.append(node)
-                    b.append(nodes[i])
-        kept = forest(np.array(a, np.int64), np.array(b, np.int64))
-        return pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
-
-    return linked
-
-
 # --- the join ----------------------------------------------------------------------------
 
 
@@ -185,7 +164,7 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, n: int) ->
 
 
 def _short_list_pairs(lists: DataFrame, percent: int, short: int) -> DataFrame:
-    """Pairs (a, b, n of b) that meet in enough short lists and can still be similar."""
+    """Pairs (g, node, n of the node) that meet in enough short lists and can still be similar."""
     side = lists.filter(F.col("m") <= short).select("h", "node", "n", "pos")
     other = side.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos")])
     met = (
@@ -203,71 +182,76 @@ def _short_list_pairs(lists: DataFrame, percent: int, short: int) -> DataFrame:
     need = F.ceil(percent * (F.col("n") + F.col("n_b")) / (100 + percent))
     room = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) - 1
     return met.filter((F.col("s") >= F.least(F.lit(COMMON), need)) & (F.col("s") + room >= need)).select(
-        F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("n_b").alias("n")
+        F.col("node").alias("g"), F.col("node_b").alias("node"), F.col("n_b").alias("n")
     )
 
 
-def _chief_pairs(hot: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n of b) of a set b of long lists and a chief: those of most of its lists."""
-    met = (
-        hot.filter(f"node != chief and 100 * n >= {percent} * chief_n and 100 * chief_n >= {percent} * n")
-        .groupBy("node", "chief")
-        .agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"))
-    )
-    best = Window.partitionBy("node").orderBy(F.desc("s"), "chief")
-    return (
-        met.withColumn("r", F.row_number().over(best))
-        .filter(F.col("r") <= CHIEFS)
-        .select(F.col("chief").alias("a"), F.col("node").alias("b"), "n")
+def _panels(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, node) of the panels, (g, node, n) of the sets to search for in them. A set is searched
+    for in its longest list; a panel has no more sets than are searched for in it."""
+    home = settle(
+        hot.groupBy("node")
+        .agg(F.max(F.struct("m", "h")).alias("list"), F.first("n").alias("n"))
+        .select(F.col("list.h").alias("g"), "node", "n")
     )
+    sought = home.groupBy("g").agg(F.count(F.lit(1)).alias("sought"))
+    by_hash = Window.partitionBy("h").orderBy(F.xxhash64("node"), "node")
+    ranked = hot.select("h", "node").withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= PANEL)
+    panels = ranked.withColumnRenamed("h", "g").join(sought, "g").filter("r <= sought").select("g", "node")
+    return panels, home
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame:
-    """The pairs (a, b) that are similar, by their whole sets.
+def _searched(held: DataFrame, sought: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """Links (a, b) between the sets (kind, g, node) and the sets (kind, g, node, n) of the same
+    group, by their whole sets, as a spanning forest of each batch.
 
-    The pairs of a set ``a`` stand together, so it is sent once for about ``block_shingles``
-    shingles of its partners. A task holds one such set and reads the partners past it.
+    What is sought is dealt out in parts of about ``block_shingles`` shingles, and the sets held
+    are sent to each part.
     """
+    by = ["kind", "g"]
     parts = (
-        pairs.groupBy("a")
+        sought.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n_rows"), F.ceil(F.sum(F.col("n") + 64) / block_shingles).alias("parts"))
         .filter("parts > 1")
     )
-    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
-    dealt = settle(lookup_join(pairs, parts, ["a"], ["b"]).select("a", "b", part))
-    sent = dealt.select("a", "part", F.lit(1).alias("side"), F.col("b").alias("node")).union(
-        dealt.select("a", "part", F.lit(0), "a").distinct()
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    dealt = settle(lookup_join(sought, parts, by, ["node"]).select(*by, part, F.lit(1).alias("side"), "node"))
+    sent = dealt.union(
+        dealt.select(*by, "part").distinct().join(held, by).select(*by, "part", F.lit(0), "node")
     )
+    key = [*by, "part"]
     met = (
         sent.join(sets, "node")
-        .select("a", "part", "side", "node", "hashes")
-        .repartition("a", "part")
-        .sortWithinPartitions("a", "part", "side")
+        .select(*key, "side", "node", "hashes")
+        .repartition(*key)
+        .sortWithinPartitions(*key, "side")
     )
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.empty(0, np.uint64)
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own, nodes, lists = None, [], [], None
         for batch in batches:
-            keep = []
-            for side, hashes in zip(batch.column(2).to_pylist(), batch.column(4)):
+            a, b = [], []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            sides, names = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for this, side, node, hashes in zip(keys, sides, names, batch.column(5)):
                 if not side:
-                    own = np.frombuffer(hashes.as_py(), np.uint64)
-                    keep.append(False)
+                    if this != group:
+                        group, own, nodes, lists = this, [], [], None
+                    own.append(np.frombuffer(hashes.as_py(), np.uint64))
+                    nodes.append(node)
                     continue
-                other = np.frombuffer(hashes.as_buffer(), np.uint64)
-                at = np.searchsorted(own, other)
-                at[at == len(own)] = 0
-                both = int((own[at] == other).sum())
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(
-                pa.array(keep, pa.bool_())
-            )
+                lists = lists or Lists(own)
+                found = [nodes[i] for i in lists.search(np.frombuffer(hashes.as_buffer(), np.uint64), percent)]
+                a += found
+                b += [node] * len(found)
+            kept = np.array(forest(np.array(a, np.int64), np.array(b, np.int64)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["a", "b"])
 
-    return met.mapInArrow(similar, "a bigint, b bigint")
+    return met.mapInArrow(searched, "a bigint, b bigint")
 
 
 def _blocks(hot: DataFrame, block_shingles: int) -> DataFrame:
-    """(node, block) for nodes in long lists, those of one list and of one component near each
+    """(node, block) for the nodes of long lists, those of one list and of one component near each
     other. A block has about ``block_shingles`` shingles, however many partitions the nodes
     come in."""
     nodes = hot.groupBy("node", "component").agg(F.max(F.struct("m", "h")).alias("list"), F.first("n").alias("n"))
@@ -347,52 +331,48 @@ def near_duplicates(
         .withColumn("node", F.monotonically_increasing_id())
     )
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    first_by_hash = F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n"))
-    lengths = (
-        postings.groupBy("h")
-        .agg(F.count(F.lit(1)).alias("m"), first_by_hash.alias("chief"))
-        .filter("m > 1")
-        .withColumn("chief", F.when(F.col("m") > short_list, F.col("chief")))
-        .select("h", "m", F.col("chief.node").alias("chief"), F.col("chief.n").alias("chief_n"))
-    )
+    lengths = postings.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     lists = settle(postings.join(lengths, "h"))
 
+    def kind(k: int, df: DataFrame, *columns) -> DataFrame:
+        return df.select(F.lit(k).alias("kind"), *columns)
+
     hot = lists.filter(F.col("m") > short_list)
-    pairs = settle(_short_list_pairs(lists, percent, short_list).union(_chief_pairs(hot, percent)))
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
+    pairs = settle(_short_list_pairs(lists, percent, short_list))
+    panels, home = _panels(hot)
+    held = kind(0, pairs.select("g").distinct(), "g", F.col("g").alias("node")).union(kind(1, panels, "g", "node"))
+    sought = kind(0, pairs, "g", "node", "n").union(kind(1, home, "g", "node", "n"))
+    needed = pairs.select("node").union(pairs.select("g")).union(home.select("node")).distinct()
     sets_of = settle(_sets_of(nodes.join(needed, "node", "left_semi"), rows, "key", "text", shingle))
-    tied = components(_compared(pairs, sets_of, percent, block_shingles))
+    tied = components(_searched(held, sought, sets_of, percent, block_shingles))
 
-    # lists whose sets aren't connected yet
+    # lists whose sets aren't connected yet, with the largest component of each
     member = hot.select("h", "m", "node", "n").join(tied, "node", "left")
     member = settle(member.withColumn("component", F.coalesce("component", "node")))
-    split = F.min("component") < F.max("component")
-    still = member.groupBy("h").agg(split.alias("split")).filter("split").select("h")
-    rest = settle(member.join(still, "h", "left_semi"))
-
-    # a set goes to a pair of blocks only if, by a list of its own, the other block holds a set
-    # it isn't connected with
-    placed = settle(rest.select("h", "node", "component").join(_blocks(rest, block_shingles), "node"))
-    reached = placed.groupBy("h", F.col("block").alias("other")).agg(
-        F.min("component").alias("least"), F.max("component").alias("most")
+    largest = (
+        member.groupBy("h", "component")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("h")
+        .agg(F.max(F.struct("c", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("k"))
+        .filter("k > 1")
+        .drop("k")
     )
-    copies = (
-        placed.join(reached, "h")
-        .filter("least < most or least != component")
-        .select(
-            "node",
-            F.least("block", "other").alias("block"),
-            F.greatest("block", "other").alias("other"),
-            (F.col("block") > F.col("other")).cast("int").alias("side"),
-        )
-        .distinct()
+    rest = settle(member.join(largest, "h"))
+    outside = rest.filter("component != largest")
+
+    # of two sets of a list that aren't connected, one is outside: it is held in its block, and
+    # the other is sought there
+    blocks = _blocks(outside, block_shingles)
+    reached = (
+        outside.join(blocks, "node")
+        .groupBy("h", "block")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
     )
-    by_block = (
-        copies.join(sets_of, "node")
-        .select("block", "other", "side", "node", "hashes")
-        .groupBy("block", "other")
-        .applyInPandas(link_blocks(percent), "a bigint, b bigint")
+    sought = settle(
+        kind(2, rest.join(reached, "h").filter("least < most or least != component"), F.col("block").alias("g"), "node", "n")
+        .distinct()
     )
+    by_block = _searched(kind(2, blocks, F.col("block").alias("g"), "node"), sought, sets_of, percent, block_shingles)
     tied = components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(by_block))
 
     label = (
