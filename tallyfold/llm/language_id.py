@@ -7,19 +7,19 @@ each of which adds its log frequency; a character never seen adds nothing.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import held_out, map_texts, sample_by_class
 from tallyfold.sources.shared import settle
 
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MAX_GRAM = 4
 DOCS_PER_LANGUAGE = 1000
 MODEL_ENTRIES = 100_000
@@ -28,7 +28,8 @@ CACHED_WORDS = 300_000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
+    """Lower-cased runs of letters, with the marks that follow a letter. Number signs and marks
+    alone are no words."""
     return WORDS.findall((text or "").lower())
 
 

@@ -38,13 +38,15 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def numbered(rows: DataFrame, shard: str, key: str, ties: Sequence[str]) -> DataFrame:
-    """Add ``slot``: 0, 1, 2, ... in each shard by (md5 of the key, ties).
+    """Add ``slot``: 0, 1, 2, ... in each shard by (md5 of key and ties, key, ties).
 
     Records are ranked inside buckets of a shard, the first digits of the md5; the number of
-    records in the buckets before is added. No task holds a shard; a bucket's share is 1 in
-    4,096. The table of bucket sizes has 4,096 rows a shard, whatever the input.
+    records in the buckets before is added. No task holds a shard; a bucket's share of the
+    records that differ is 1 in 4,096, also of those of one key. The table of bucket sizes has
+    4,096 rows a shard, whatever the input.
     """
-    cut = rows.withColumn("_order", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))).withColumn(
+    told = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *ties)])
+    cut = rows.withColumn("_order", F.md5(told)).withColumn(
         "_bucket", F.substring("_order", 1, BUCKET_DIGITS)
     )
     sizes = cut.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

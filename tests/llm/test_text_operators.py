@@ -141,6 +141,25 @@ def test_dual_coordinate_descent_meets_the_optimality_conditions():
 # --- language ----------------------------------------------------------------------------
 
 
+def test_letters_are_words_and_number_signs_are_not():
+    assert language_id.words_of("²½Ⅷ ① ٣ 12 _ \u0301") == []
+    assert language_id.words_of("x²y ABC1de") == ["x", "y", "abc", "de"]
+    assert language_id.words_of("cafe\u0301 नमस्ते") == ["cafe\u0301", "नमस्ते"]
+
+
+def test_rows_of_one_key_spread_over_buckets(spark):
+    rows = [(7 if i % 3 else i, f"text {i}") for i in range(900)] + [(None, None)] * 3
+    out = sharding.assign(docs_of(spark, rows)).collect()
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    one = spark.range(900).selectExpr("7 as k", "id as size", "0 as shard")
+    numbered = sharding.numbered(one, "shard", "k", ("k", "size"))
+    digits = F.substring(F.md5(F.concat_ws("|", "k", "k", "size")), 1, sharding.BUCKET_DIGITS)
+    assert numbered.groupBy(digits).count().agg(F.max("count")).first()[0] < 10
+    assert [r["slot"] for r in numbered.orderBy("slot").collect()] == list(range(900))
+
+
 def test_language(spark):
     dice = random.Random(9)
     words = {"en": "the house and of with water".split(), "de": "das haus und von mit wasser".split()}
