@@ -360,18 +360,17 @@ def near_duplicates(
     rest = settle(member.join(largest, "h"))
     outside = rest.filter("component != largest")
 
-    # of two sets of a list that aren't connected, one is outside: it is held in its block, and
-    # the other is sought there
+    # of two sets of a list that aren't connected, one is held in a block; the other is sought
+    # there, and if both are held, that of the later block in the earlier one
     blocks = _blocks(outside, block_shingles)
+    placed = settle(rest.join(blocks, "node", "left"))
     reached = (
-        outside.join(blocks, "node")
-        .groupBy("h", "block")
+        placed.filter("block is not null")
+        .groupBy("h", F.col("block").alias("g"))
         .agg(F.min("component").alias("least"), F.max("component").alias("most"))
     )
-    sought = settle(
-        kind(2, rest.join(reached, "h").filter("least < most or least != component"), F.col("block").alias("g"), "node", "n")
-        .distinct()
-    )
+    apart = "(least < most or least != component) and (block is null or block >= g)"
+    sought = settle(kind(2, placed.join(reached, "h").filter(apart), "g", "node", "n").distinct())
     by_block = _searched(kind(2, blocks, F.col("block").alias("g"), "node"), sought, sets_of, percent, block_shingles)
     tied = components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(by_block))
 
