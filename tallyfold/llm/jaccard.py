@@ -16,6 +16,10 @@ merges the short lists of a query, the long ones are only probed, by bisection,
 survive. It returns a spanning forest of the links of each batch, so the number of rows doesn't
 grow with the pairs in a group.
 
+Whole sets are sent only where a *parity map* leaves room for a partner: two to four bits for each
+shingle of a set, each telling whether an odd number of them fall on it. Bits in which two maps
+differ stand for different shingles each, so more of them than a link allows rule it out.
+
 Every pair either shares a long list (and is connected already or meets in its blocks) or none
 (and meets in K short ones), so no component is missed, whatever the lengths of lists.
 """
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,21 +150,77 @@ class Lists:
         return sets[100 * counts >= percent * (len(query) + self.sizes[sets] - counts)]
 
 
+# --- parity maps -------------------------------------------------------------------------
+
+
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """Two to four bits for each hash, 64 at least: which are hit by an odd number of hashes."""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    hits = np.bincount((hashes & np.uint64(bits - 1)).view(np.int64), minlength=bits)
+    return np.packbits((hits & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def most_apart(n: np.ndarray, m: int, percent: int) -> np.ndarray:
+    """Shingles that are in one only of two linked sets of ``n`` and ``m``, at most."""
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
+class Maps:
+    """The parity maps of the sets of a block, those of one width as one table."""
+
+    def __init__(self, nodes: list[int], sizes: list[int], maps: list[np.ndarray]):
+        self.nodes, self.sizes = np.array(nodes, np.int64), np.array(sizes, np.int64)
+        self.open = np.zeros(len(nodes), bool)
+        width = np.array([len(m) for m in maps])
+        self.tables = {
+            int(w): (at := np.flatnonzero(width == w), np.stack([maps[i] for i in at])) for w in np.unique(width)
+        }
+
+    def any_partner(self, node: int, n: int, own: np.ndarray, percent: int) -> bool:
+        """Whether a set may be linked with another one of the block; marks those as open."""
+        found = False
+        for width, (at, table) in self.tables.items():
+            # sizes of linked sets differ by less than a factor of two, and so do widths at most
+            if width * 2 < len(own) or width > len(own) * 2:
+                continue
+            sizes = self.sizes[at]
+            fits = (100 * sizes >= percent * n) & (100 * n >= percent * sizes) & (self.nodes[at] != node)
+            if not fits.any():
+                continue
+            at, table = at[fits], table[fits]
+            mine = own if width >= len(own) else own[:width] ^ own[width:]
+            table = table if width <= len(own) else table[:, : len(own)] ^ table[:, len(own) :]
+            apart = np.bitwise_count(table ^ mine).sum(axis=1, dtype=np.int64)
+            near = at[apart <= most_apart(self.sizes[at], n, percent)]
+            self.open[near] = True
+            found = found or len(near) > 0
+        return found
+
+
 # --- the join ----------------------------------------------------------------------------
 
 
-def _sets_of(nodes: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(node, n, hashes) of the given nodes, made again from the texts that stand for them."""
-    wanted = nodes.select("node", F.col("rep.key").alias("_key"), F.col("rep.text_key").alias("_text_key"))
+def _made_again(
+    nodes: DataFrame, docs: DataFrame, key: str, text: str, n: int, what: str, make: Callable[[np.ndarray], np.ndarray]
+) -> DataFrame:
+    """(node, n, ``what``) of the given nodes, ``make`` of the shingle sets of the texts that stand
+    for them. Only where a node has several rows can two of them have its key and its text."""
+    wanted = nodes.select("node", "copies", F.col("rep.key").alias("_key"), F.col("rep.text_key").alias("_text_key"))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
     chosen = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_text_key")))
+    once = chosen.filter("copies = 1").select("node", "text")
+    several = chosen.filter("copies > 1").select("node", "text").dropDuplicates(["node"])
 
-    def hashed(texts):
-        return {"hashes": pa.array([shingle_set(t, n).tobytes() for t in texts], pa.binary())}
+    def made(texts):
+        own = [shingle_set(t, n) for t in texts]
+        return {
+            "n": pa.array([len(s) for s in own], pa.int64()),
+            what: pa.array([make(s).tobytes() for s in own], pa.binary()),
+        }
 
-    return map_texts(chosen.select("node", "text"), "text", "hashes binary", hashed).dropDuplicates(["node"])
+    return map_texts(once.union(several), "text", f"n bigint, {what} binary", made)
 
 
 def _short_list_pairs(lists: DataFrame, percent: int, short: int) -> DataFrame:
@@ -201,9 +261,9 @@ def _panels(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     return panels, home
 
 
-def _searched(held: DataFrame, sought: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame:
-    """Links (a, b) between the sets (kind, g, node) and the sets (kind, g, node, n) of the same
-    group, by their whole sets, as a spanning forest of each batch.
+def _sent(held: DataFrame, sought: DataFrame, sets: DataFrame, column: str, block_shingles: int) -> DataFrame:
+    """(kind, g, part, side, node, n, ``column``): what a group holds (side 0), then what is sought
+    there (side 1), sorted so.
 
     What is sought is dealt out in parts of about ``block_shingles`` shingles, and the sets held
     are sent to each part.
@@ -220,20 +280,84 @@ def _searched(held: DataFrame, sought: DataFrame, sets: DataFrame, percent: int,
         dealt.select(*by, "part").distinct().join(held, by).select(*by, "part", F.lit(0), "node")
     )
     key = [*by, "part"]
-    met = (
-        sent.join(sets, "node")
-        .select(*key, "side", "node", "hashes")
+    return (
+        sent.join(sets.select("node", "n", column), "node")
+        .select(*key, "side", "node", "n", column)
         .repartition(*key)
         .sortWithinPartitions(*key, "side")
     )
 
+
+def _sieved(
+    held: DataFrame, sought: DataFrame, sets: DataFrame, percent: int, block_shingles: int
+) -> tuple[DataFrame, DataFrame]:
+    """Those of the sets (kind, g, node) and of the sets (kind, g, node, n) sought there whose
+    parity maps leave room for a link in their group."""
+    met = _sent(held, sought, sets, "parity", block_shingles)
+
+    def sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own, maps = None, [], None
+        out: list[tuple] = []
+
+        def end():
+            if maps is not None:
+                for i in np.flatnonzero(maps.open).tolist():
+                    out.append((group[0], group[1], 0, int(maps.nodes[i]), int(maps.sizes[i])))
+
+        def rows():
+            kind, g, side, node, n = zip(*out) if out else ((),) * 5
+            made = {"kind": pa.array(kind, pa.int32()), "g": pa.array(g, pa.int64()), "side": pa.array(side, pa.int32())}
+            out.clear()
+            return pa.RecordBatch.from_pydict(
+                made | {"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64())}
+            )
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for kind, g, part, side, node, n, parity in zip(*columns, batch.column(6)):
+                parity = np.frombuffer(parity.as_py(), np.uint64)
+                if not side:
+                    if (kind, g, part) != group:
+                        end()
+                        group, own, maps = (kind, g, part), [], None
+                    own.append((node, n, parity))
+                    continue
+                maps = maps or Maps(*zip(*own))
+                if maps.any_partner(node, n, parity, percent):
+                    out.append((kind, g, 1, node, n))
+            yield rows()
+        end()
+        yield rows()
+
+    left = settle(met.mapInArrow(sieved, "kind int, g bigint, side int, node bigint, n bigint"))
+    return (
+        left.filter("side = 0").select("kind", "g", "node").distinct(),
+        left.filter("side = 1").select("kind", "g", "node", "n"),
+    )
+
+
+def _searched(
+    held: DataFrame,
+    sought: DataFrame,
+    maps: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    percent: int,
+    block_shingles: int,
+) -> DataFrame:
+    """Links (a, b) between the sets (kind, g, node) and the sets (kind, g, node, n) of the same
+    group, as a spanning forest of each batch. ``sets_of`` makes the whole sets of those nodes
+    (node) that pass the sieve."""
+    held, sought = _sieved(held, sought, maps, percent, block_shingles)
+    sets = settle(sets_of(held.select("node").union(sought.select("node")).distinct()))
+    met = _sent(held, sought, sets, "hashes", block_shingles)
+
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, own, nodes, lists = None, [], [], None
         for batch in batches:
             a, b = [], []
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
             sides, names = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for this, side, node, hashes in zip(keys, sides, names, batch.column(5)):
+            for this, side, node, hashes in zip(keys, sides, names, batch.column(6)):
                 if not side:
                     if this != group:
                         group, own, nodes, lists = this, [], [], None
@@ -327,6 +451,7 @@ def near_duplicates(
             F.max(F.struct("key", "text_key")).alias("rep"),
             F.first("n").alias("n"),
             F.first("prefix").alias("prefix"),
+            F.count(F.lit(1)).alias("copies"),
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
@@ -343,8 +468,15 @@ def near_duplicates(
     held = kind(0, pairs.select("g").distinct(), "g", F.col("g").alias("node")).union(kind(1, panels, "g", "node"))
     sought = kind(0, pairs, "g", "node", "n").union(kind(1, home, "g", "node", "n"))
     needed = pairs.select("node").union(pairs.select("g")).union(home.select("node")).distinct()
-    sets_of = settle(_sets_of(nodes.join(needed, "node", "left_semi"), rows, "key", "text", shingle))
-    tied = components(_searched(held, sought, sets_of, percent, block_shingles))
+
+    def again(wanted: DataFrame, what: str, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        return _made_again(nodes.join(wanted, "node", "left_semi"), rows, "key", "text", shingle, what, make)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return again(wanted, "hashes", np.asarray)
+
+    maps = settle(again(needed, "parity", parity_map))
+    tied = components(_searched(held, sought, maps, sets_of, percent, block_shingles))
 
     # lists whose sets aren't connected yet, with the largest component of each
     member = hot.select("h", "m", "node", "n").join(tied, "node", "left")
@@ -371,7 +503,8 @@ def near_duplicates(
     )
     apart = "(least < most or least != component) and (block is null or block >= g)"
     sought = settle(kind(2, placed.join(reached, "h").filter(apart), "g", "node", "n").distinct())
-    by_block = _searched(kind(2, blocks, F.col("block").alias("g"), "node"), sought, sets_of, percent, block_shingles)
+    held = kind(2, blocks, F.col("block").alias("g"), "node")
+    by_block = _searched(held, sought, maps, sets_of, percent, block_shingles)
     tied = components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).union(by_block))
 
     label = (
