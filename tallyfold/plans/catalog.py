@@ -32,6 +32,8 @@ from tallyfold.operators import (
     tabular,
     text_features,
 )
+from tallyfold.operators import drift
+from tallyfold.operators import trees as folders
 from tallyfold.plans import selection
 from tallyfold.plans import tables as t
 from tallyfold.sources import files as trees
@@ -701,6 +703,31 @@ def manifest_diff(spark, sf):
     return manifests.reconcile(*t.trees(spark, sf))
 
 
+def moved_files(spark, sf):
+    return folders.moves(*t.hashed_trees(spark, sf), "sha")
+
+
+def folder_totals(spark, sf):
+    return folders.folder_totals(t.hashed_trees(spark, sf)[0], "sha")
+
+
+def folder_diff(spark, sf):
+    return folders.folder_diff(*t.hashed_trees(spark, sf), "sha")
+
+
+def column_drift(spark, sf):
+    """Exact drift of open and returned line items, and whether sketches agree within their error."""
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    lines = t.table(spark, sf, "lineitem")
+    kept, returned = lines.filter("l_returnflag <> 'R'"), lines.filter("l_returnflag = 'R'")
+    exact = drift.column_drift(kept, returned, names)
+    read = drift.sketched_ks(drift.column_sketches(kept, names), drift.column_sketches(returned, names))
+    near = read.select("column", F.col("ks").alias("read"), "error")
+    return exact.join(near, "column").select(
+        "column", "n_a", "n_b", r6("ks"), r6("psi"), (F.abs(F.col("read") - F.col("ks")) <= F.col("error")).alias("sketch_agrees")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -775,5 +802,9 @@ QUERIES = {
         tree_totals,
         file_byte_features,
         manifest_diff,
+        moved_files,
+        folder_totals,
+        folder_diff,
+        column_drift,
     )
 } | {"argmax_class": argmax_dimension, "byte_features": byte_feature_rows}

@@ -630,4 +630,8 @@ SQL = {
           case when a.path is null then 'added' when b.path is null then 'removed'
             when a.n = b.n then 'same' else 'changed' end as status
         from a full join b using (path)""",
+    "moved_files": models.MOVED,
+    "folder_totals": models.FOLDER_TOTALS,
+    "folder_diff": models.FOLDER_DIFF,
+    "column_drift": models.column_drift(["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
 }

@@ -291,3 +291,22 @@ def trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.length(F.regexp_replace("text", "[ \n]+", " ")).cast("bigint").alias("length"),
     )
     return old, new
+
+
+def hashed_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two manifests of the documents with the md5 of their texts: as they are, and with every
+    fifth one moved to another folder, every seventh one removed and every eleventh one cut short."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    folder = F.concat_ws("/", "lang", "source")
+    name = F.col("doc_id").cast("string")
+
+    def manifest(rows: DataFrame, path: Column, text: Column) -> DataFrame:
+        return rows.select(
+            path.alias("path"), F.length(text).cast("bigint").alias("length"), F.md5(text.cast("binary")).alias("sha")
+        )
+
+    moved = F.when(F.col("doc_id") % 5 == 0, F.concat_ws("/", F.lit("moved"), "source")).otherwise(folder)
+    text = F.when(F.col("doc_id") % 11 == 0, F.substring("text", 1, 20)).otherwise(F.col("text"))
+    old = manifest(docs, F.concat_ws("/", folder, name), F.col("text"))
+    new = manifest(docs.filter("doc_id % 7 <> 0"), F.concat_ws("/", moved, name), text)
+    return old, new
