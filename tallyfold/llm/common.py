@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 HELD_OUT = 2
 FOLDS = 4
@@ -50,10 +51,12 @@ def map_texts(
 ) -> DataFrame:
     """Replace the text column by what ``batch_of`` makes of lists of texts.
 
+    Columns of the same names, in any case, are replaced as well: those of the operator count.
     ``batch_of`` returns the new columns, named in ``schema``. It gets texts of about
     ``piece_bytes`` at a time, so a batch of long texts doesn't add up in memory.
     """
-    keep = [c for c in df.columns if c != text]
+    made_here = {name.lower() for name in StructType.fromDDL(schema).names}
+    keep = [c for c in df.columns if c != text and c.lower() not in made_here]
     kept = df.select(*keep).schema
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields] + [schema])
 

@@ -180,16 +180,15 @@ class Maps:
         """Whether a set may be linked with another one of the block; marks those as open."""
         found = False
         for width, (at, table) in self.tables.items():
-            # sizes of linked sets differ by less than a factor of two, and so do widths at most
-            if width * 2 < len(own) or width > len(own) * 2:
-                continue
             sizes = self.sizes[at]
             fits = (100 * sizes >= percent * n) & (100 * n >= percent * sizes) & (self.nodes[at] != node)
             if not fits.any():
                 continue
             at, table = at[fits], table[fits]
-            mine = own if width >= len(own) else own[:width] ^ own[width:]
-            table = table if width <= len(own) else table[:, : len(own)] ^ table[:, len(own) :]
+            # of two widths the larger one is folded to the smaller
+            least = min(width, len(own))
+            mine = np.bitwise_xor.reduce(own.reshape(-1, least), axis=0)
+            table = np.bitwise_xor.reduce(table.reshape(len(table), -1, least), axis=1)
             apart = np.bitwise_count(table ^ mine).sum(axis=1, dtype=np.int64)
             near = at[apart <= most_apart(self.sizes[at], n, percent)]
             self.open[near] = True
@@ -551,11 +550,12 @@ def keep_one(
         .distinct()
         .select(F.col(key).alias("_kept"), F.col("text_key").alias("_kept_text"))
     )
-    marked = docs.withColumn("_text_key", F.xxhash64(text))
+    # the row goes along as one value, so none of its columns can be taken for one of these
+    marked = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_text_key"))
     return (
-        marked.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (F.col("_text_key") == F.col("_kept_text")))
-        .dropDuplicates([key, "_text_key"])
-        .select(*docs.columns)
+        marked.join(kept, F.col("_key").eqNullSafe(F.col("_kept")) & (F.col("_text_key") == F.col("_kept_text")))
+        .dropDuplicates(["_key", "_text_key"])
+        .select("_row.*")
     )
 
 

@@ -244,11 +244,12 @@ def mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rates = document_rates(docs, labels, key=key, text=text).select(
         F.col(key).alias("_mix_key"), F.col("text_key").alias("_mix_text"), F.col("copies").alias("_mix_copies")
     )
+    # the row goes along as one value, so none of its columns can be taken for one of these
+    marked = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_own"))
     return (
-        docs.withColumn("_mix_own", F.xxhash64(text))
-        .join(rates, F.col(key).eqNullSafe(F.col("_mix_key")) & (F.col("_mix_own") == F.col("_mix_text")))
-        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))))
-        .select(*docs.columns)
+        marked.join(rates, F.col("_key").eqNullSafe(F.col("_mix_key")) & (F.col("_own") == F.col("_mix_text")))
+        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))))
+        .select("_row.*")
     )
 
 
