@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.scores import argmax_class, softmax
@@ -24,7 +25,13 @@ from tallyfold.functions.text import tokens
 from tallyfold.operators import boosting
 from tallyfold.operators.folds import oof
 from tallyfold.operators.keys import MAX_FOLDS, NO_FOLD, fold_counts, own_fold, prior_counts
-from tallyfold.operators.skew import BROADCAST_BYTES, key_table, lookup_join
+from tallyfold.operators.skew import (
+    BROADCAST_BYTES,
+    KeyTable,
+    frequent_from,
+    key_table,
+    lookup_join,
+)
 from tallyfold.sources.shared import settle, shared_folder
 
 MAX_MODEL_VALUES = 20_000_000
@@ -140,10 +147,10 @@ def naive_bayes_scores(
     """(id, fold, y, probs): multinomial naive Bayes, labelled rows scored by the
     other folds, unlabelled ones (fold -1) by all labels.
 
-    Token counts per (token, fold) are joined to the tokens of each text. If that
-    table is small it is broadcast and a text's tokens are summed in the task that
-    reads it; else the tokens are first counted per text and then joined with the
-    frequent tokens split.
+    Token counts of labelled texts per (token, fold) are joined to the tokens of each
+    text. What of that table can be broadcast, all of it or its most frequent tokens, is
+    summed in the task that reads the text. Only the other tokens are counted per text,
+    sent and joined, with frequent ones split.
     """
     classes = list(range(n_classes))
     # a null token per text counts the texts themselves and keeps empty ones
@@ -154,32 +161,56 @@ def naive_bayes_scores(
         own_fold(y, fold, n_folds).alias("_fold"),
         F.explode_outer(words).alias("token"),
     )
-    counted = key_table(fold_counts(docs, "token", "y", "_fold", classes, n_folds))
+    counted = key_table(_with_all_labels(docs.filter(F.col("y").isNotNull()), classes, n_folds))
     counts = counted.table
     by_token = counts.filter(F.col("token").isNotNull())
-    labelled = sum([F.col(f"n{i}") for i in classes[1:]], F.col("n0"))
-    vocabulary = by_token.filter(labelled > 0).agg(F.countDistinct("token")).first()[0]
+    left = sum([F.col(f"l{i}") for i in classes[1:]], F.col("l0"))
+    vocabulary = by_token.filter((F.col("_fold") == NO_FOLD) & (left > 0)).count()
     prior = prior_counts(counts.filter(F.col("token").isNull()), n_classes).select(
         "_fold", *[F.col(f"p{c}").alias(f"d{c}") for c in classes]
     )
     # one row per fold
     totals = prior.join(F.broadcast(prior_counts(by_token, n_classes)), "_fold", "left")
 
-    weights = counted.filter(F.col("token").isNotNull()).select(
-        "token", "_fold", "n_rows", *[F.log(F.col(f"l{c}") + alpha).alias(f"w{c}") for c in classes]
-    )
-    rows = docs.withColumn("n", F.lit(1))
-    if not weights.is_small(broadcast_bytes):
-        rows = docs.groupBy(id_col, "y", "_fold", "token").agg(F.count(F.lit(1)).alias("n"))
-    joined = lookup_join(
-        rows, weights, ["token", "_fold"], [id_col, "token"], broadcast_bytes=broadcast_bytes
-    )
-    summed = joined.groupBy(id_col, "y", "_fold").agg(
-        F.sum(F.when(F.col("token").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("_n"),
-        *[
-            F.coalesce(F.sum(F.col("n") * F.col(f"w{c}")), F.lit(0.0)).alias(f"s{c}")
+    # what a token adds that no other fold has
+    unknown = F.log(F.lit(alpha))
+    logs = [F.log(F.col(f"l{c}") + alpha).alias(f"w{c}") for c in classes]
+    weights = counted.filter(F.col("token").isNotNull())
+    weights = weights.select("token", "_fold", "n_rows", *logs)
+    by_text = [id_col, "y", "_fold"]
+    if weights.is_small(broadcast_bytes):
+        joined = lookup_join(
+            docs.withColumn("n", F.lit(1)), weights, ["token", "_fold"], [id_col, "token"],
+            broadcast_bytes=broadcast_bytes,
+        )
+        scores = [
+            F.when(F.col("token").isNotNull(), F.col("n") * F.coalesce(F.col(f"w{c}"), unknown))
             for c in classes
-        ],
+        ]
+        number = F.when(F.col("token").isNotNull(), F.col("n")).otherwise(F.lit(0))
+    else:
+        least = frequent_from(weights, broadcast_bytes)
+        sums = settle(_frequent_sums(docs, weights, least, by_text, n_classes))
+        # a token that no other fold has needs no row
+        rare = F.lit(True) if least is None else F.col("n_rows") < least
+        rest = replace(counted.filter(F.col("token").isNotNull() & rare & (left > 0)), weight=None)
+        joined = lookup_join(
+            sums,
+            rest.select("token", "_fold", *logs),
+            ["token", "_fold"],
+            [id_col, "token"],
+            broadcast_bytes=broadcast_bytes,
+        )
+        scores = [
+            F.when(F.col("token").isNull(), F.col(f"k{c}")).otherwise(
+                F.col("n") * F.coalesce(F.col(f"w{c}"), unknown)
+            )
+            for c in classes
+        ]
+        number = F.col("n")
+    summed = joined.groupBy(*by_text).agg(
+        F.sum(number).alias("_n"),
+        *[F.coalesce(F.sum(scores[c]), F.lit(0.0)).alias(f"s{c}") for c in classes],
     )
     labels = sum([F.col(f"d{c}") for c in classes[1:]], F.col("d0"))
     logits = [
@@ -193,6 +224,50 @@ def naive_bayes_scores(
     )
 
 
+def _with_all_labels(labelled: DataFrame, classes: Sequence[int], n_folds: int) -> DataFrame:
+    """fold_counts of the tokens of labelled texts, and a row of fold -1 for each token,
+    whose other folds are all folds."""
+    # side by side, the sums of all folds and classes take longer than a sort
+    counts = fold_counts(labelled, "token", "y", "_fold", classes, n_folds, wide_columns=0)
+    same = Window.partitionBy("token")
+    first = F.min("_fold").over(same) == F.col("_fold")
+    names = [f"n{c}" for c in classes], [f"l{c}" for c in classes]
+    own = F.struct("_fold", "n_rows", *names[0], *names[1])
+    whole = F.struct(
+        F.lit(NO_FOLD).alias("_fold"),
+        F.col("_rows").alias("n_rows"),
+        *[F.lit(0).cast("bigint").alias(n) for n in names[0]],
+        *[(F.col(n) + F.col(left)).alias(left) for n, left in zip(*names)],
+    )
+    return (
+        counts.withColumn("_rows", F.sum("n_rows").over(same))
+        .withColumn("_first", first)
+        .select("token", F.inline(F.when(F.col("_first"), F.array(own, whole)).otherwise(F.array(own))))
+    )
+
+
+def _frequent_sums(
+    docs: DataFrame, weights: KeyTable, least: int | None, by_text: Sequence[str], n_classes: int
+) -> DataFrame:
+    """(by_text.., token, n, k0 .. kK-1): one row with a null token for each text, with the
+    number and summed weights of its tokens of at least ``least`` rows, and one with the
+    number for each of its other tokens."""
+    frequent = weights.filter(F.lit(False) if least is None else F.col("n_rows") >= least)
+    values = frequent.table.select(
+        "token", "_fold", *[F.col(f"w{c}").alias(f"k{c}") for c in range(n_classes)], F.lit(True).alias("_known")
+    )
+    known = docs.join(F.broadcast(values), ["token", "_fold"], "left")
+    other = F.when(F.col("_known").isNull(), F.col("token"))
+    return (
+        known.groupBy(*by_text, other.alias("_other"))
+        .agg(
+            F.count("token").alias("n"),
+            *[F.sum(f"k{c}").alias(f"k{c}") for c in range(n_classes)],
+        )
+        .withColumnRenamed("_other", "token")
+    )
+
+
 # --- pyspark.ml models -----------------------------------------------------------
 
 

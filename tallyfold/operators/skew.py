@@ -40,20 +40,46 @@ class KeyTable:
 def key_table(table: DataFrame, weight: str | None = "n_rows") -> KeyTable:
     """Write the table and measure what was written. Arrays, maps and structs are not
     measured; a table that has any is never taken for small."""
-    width = F.lit(16 * len(table.columns) + 64)
-    nested = False
-    for field in table.schema.fields:
-        if isinstance(field.dataType, (StringType, BinaryType)):
-            width = width + 2 * F.coalesce(F.octet_length(field.name), F.lit(0))
-        nested = nested or isinstance(field.dataType, (ArrayType, MapType, StructType))
+    nested = any(
+        isinstance(field.dataType, (ArrayType, MapType, StructType)) for field in table.schema.fields
+    )
     written = settle(table)
     seen = written.agg(
-        F.coalesce(F.sum(width), F.lit(0)).alias("size"),
+        F.coalesce(F.sum(_row_bytes(table)), F.lit(0)).alias("size"),
         F.coalesce(F.sum(weight or F.lit(0)), F.lit(0)).alias("total"),
     ).first()
     return KeyTable(written, weight, float("inf") if nested else seen["size"], seen["total"])
 
 
+def _row_bytes(table: DataFrame) -> Column:
+    """Upper estimate of the bytes a flat row takes in a broadcast."""
+    width = F.lit(16 * len(table.columns) + 64)
+    for field in table.schema.fields:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            width = width + 2 * F.coalesce(F.octet_length(field.name), F.lit(0))
+    return width
+
+
+def frequent_from(keys: KeyTable, limit: int) -> int | None:
+    """The least weight from which on a flat table's keys fit a broadcast of ``limit``
+    bytes together; None if no keys do. Weights must be positive.
+
+    Keys are summed up by the logarithm of their weight, in steps of an eighth, so that
+    a few hundred rows are brought to the driver whatever the table's size.
+    """
+    step = F.floor(F.log2(F.col(keys.weight)) * 8)
+    steps = keys.table.groupBy(step.alias("step")).agg(
+        F.sum(_row_bytes(keys.table)).alias("size"), F.min(keys.weight).alias("least")
+    )
+    least, size = None, 0
+    for row in sorted(steps.collect(), key=lambda r: -r["step"]):
+        size += row["size"]
+        if size > limit:
+            break
+        least = row["least"]
+    return least
+
+
 def lookup_join(
     rows: DataFrame,
     keys: DataFrame | KeyTable,

@@ -75,6 +75,36 @@ def test_naive_bayes_both_ways(spark):
             assert r.probs == pytest.approx(want[r.id], rel=1e-9, abs=1e-12)
 
 
+def test_naive_bayes_sends_rare_tokens_only(spark, monkeypatch):
+    rows = [(i, f"the cat sat the r{i} r{i}", None if i % 4 == 3 else i % 2, i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, text string, y int, fold int")
+    sent, join = [], scorers.lookup_join
+
+    def counting(sides, *args, **kwargs):
+        sent.append(sides.count())
+        return join(sides, *args, **kwargs)
+
+    monkeypatch.setattr(scorers, "lookup_join", counting)
+    # room for the, cat and sat in each fold
+    got = scorers.naive_bayes_scores(df, "id", "text", "y", "fold", 2, 3, broadcast_bytes=2500)
+    want = brute_bayes(rows, 2)
+    assert {r.id: r.probs for r in got.collect()} == {i: pytest.approx(p, rel=1e-9) for i, p in want.items()}
+    # a row for each text and one for its own token; it was one for each token of each text
+    assert sent == [80]
+
+
+def test_naive_bayes_unknown_tokens_add_alpha(spark):
+    rows = [(0, "a b", 0, 0), (1, "a a c", 1, 1), (2, "b", 1, 0), (3, "a z z", None, 0), (4, None, 0, 1)]
+    df = spark.createDataFrame(rows, "id bigint, text string, y int, fold int")
+    # tokens: class 0 a, b; class 1 a, a, c, b; labelled texts 2 and 2; z is in none
+    odds = (1.5 / 3.5) * (0.5 / 3.5) ** 2, (2.5 / 5.5) * (0.5 / 5.5) ** 2
+    for limit in (1 << 30, 600, 0):
+        got = scorers.naive_bayes_scores(df, "id", "text", "y", "fold", 2, 2, alpha=0.5, broadcast_bytes=limit)
+        probs = {r.id: r.probs for r in got.collect()}
+        assert len(probs) == 5
+        assert probs[3] == pytest.approx([o / sum(odds) for o in odds], rel=1e-9)
+
+
 @pytest.mark.parametrize("kind", ["logistic", "forest", "mlp", "boosting"])
 def test_ml_scorers(spark, kind, tmp_path):
     _, df = points(spark)

@@ -1,7 +1,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyfold.operators.skew import bucketed_rank, key_table, lookup_join, side_by_side
+from tallyfold.operators.skew import bucketed_rank, frequent_from, key_table, lookup_join, side_by_side
 
 
 def hot_rows(spark):
@@ -78,3 +78,13 @@ def test_bucketed_rank_equals_row_number(spark):
     want = df.withColumn("rank", F.row_number().over(w))
     assert got.select("id", "rank").exceptAll(want.select("id", "rank")).count() == 0
     assert got.count() == 5000
+
+
+def test_frequent_keys_fit_the_limit(spark):
+    rows = [(f"k{i}", 1000 if i < 3 else 10 if i < 8 else 1) for i in range(50)]
+    keys = key_table(spark.createDataFrame(rows, "key string, n_rows bigint"))
+    each = 16 * 2 + 64 + 2 * 2
+    assert frequent_from(keys, 3 * each - 1) is None
+    assert frequent_from(keys, 3 * each) == 1000
+    assert frequent_from(keys, 8 * each) == 10
+    assert frequent_from(keys, 60 * each) == 1
