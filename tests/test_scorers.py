@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tallyfold.functions.scores import argmax_class
-from tallyfold.operators import folds, metrics, scorers
+from tallyfold.operators import decisions, folds, metrics, scorers
 
 
 def points(spark, n=240, k=3, dims=6):
@@ -93,6 +93,25 @@ def test_naive_bayes_sends_rare_tokens_only(spark, monkeypatch):
     assert sent == [80]
 
 
+def test_pseudo_labels_count_labelled_texts_only(spark, monkeypatch):
+    rows = [(i, f"{'cat' if i % 2 else 'dog'} u{i}", i % 2 if i < 10 else None, i % 5) for i in range(50)]
+    df = spark.createDataFrame(rows, "id bigint, text string, y int, fold int")
+    counted, counts = [], scorers.fold_counts
+
+    def counting(sides, *args, **kwargs):
+        counted.append(sides.count())
+        return counts(sides, *args, **kwargs)
+
+    monkeypatch.setattr(scorers, "fold_counts", counting)
+    scores = scorers.naive_bayes_scores(df, "id", "text", "y", "fold", 2, 5, broadcast_bytes=0)
+    labelled = scores.filter("y is not null").select("id", "y")
+    sure = decisions.pseudo_label(scores, 0.7, 2)
+    got = decisions.with_pseudo(labelled, sure, 0.5).collect()
+    assert {r.id: (r.y, r.is_pseudo) for r in got} == {i: (i % 2, int(i >= 10)) for i in range(50)}
+    # two tokens and the text itself; it was 150, the pool's too
+    assert counted == [30]
+
+
 def test_naive_bayes_unknown_tokens_add_alpha(spark):
     rows = [(0, "a b", 0, 0), (1, "a a c", 1, 1), (2, "b", 1, 0), (3, "a z z", None, 0), (4, None, 0, 1)]
     df = spark.createDataFrame(rows, "id bigint, text string, y int, fold int")
