@@ -17,13 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import map_texts
-from tallyfold.llm.shingles import WordHashes, ngram_hashes
+from tallyfold.llm.shingles import FACTOR, mixed, ngram_hashes
 from tallyfold.operators.skew import lookup_join
 from tallyfold.sources.shared import settle
 
 WINDOW = 10
 SHINGLE = 3
 BLOCK_WINDOWS = 500_000
+PIECE_BYTES = 1 << 19
+SPAN = 1 << 15
+LONG_WORD = 1 << 10
+MAX_MARKS = 1 << 24
 
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 UPPER = bytes(range(0x41, 0x5B))
@@ -32,9 +36,79 @@ TO_SPACES = bytes(
 )
 
 
+VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
+POWERS = np.cumprod(np.full(SPAN + LONG_WORD, FACTOR, np.uint64))
+INVERSES = np.cumprod(np.full(SPAN, pow(FACTOR, -1, 1 << 64), np.uint64))
+
+
+def bytes_of(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lowered, then runs of what is neither a control, a blank nor an ASCII mark."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(TO_SPACES).split()
+    return bytes_of(text).translate(TO_SPACES).split()
+
+
+class Texts:
+    """The words of several texts, as places in their bytes, and the words' hashes.
+
+    The words of text i are those from ``first[i]`` to ``first[i + 1]``. A hash is the sum of
+    the values of a word's bytes times powers of a factor, taken from running sums, so all
+    words are hashed at once. Beyond ``LONG_WORD`` bytes a word is not looked at: equal words
+    have equal hashes, and what has equal hashes must be compared.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        encoded = [bytes_of(t) for t in texts]
+        # a blank after each text ends its last word
+        self.data = b" ".join([*encoded, b""]).translate(TO_SPACES)
+        self.bounds = np.cumsum([0, *[len(t) + 1 for t in encoded]])
+        data = np.frombuffer(self.data, np.uint8)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[1:] = data != 32
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        self.first = np.searchsorted(starts, self.bounds)
+        self.hashes = np.empty(len(starts), np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, len(data) + SPAN, SPAN)).tolist()
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            part = data[k * SPAN : (k + 1) * SPAN + LONG_WORD]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(VALUES[part] * POWERS[: len(part)], out=sums[1:])
+            begin = starts[a:b] - k * SPAN
+            end = np.minimum(ends[a:b] - k * SPAN, begin + LONG_WORD)
+            self.hashes[a:b] = (sums[end] - sums[begin]) * INVERSES[begin]
+
+    def words(self, i: int) -> list[bytes]:
+        return self.data[self.bounds[i] : self.bounds[i + 1]].split()
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+
+class Keys:
+    """Sorted keys that are looked for among the runs of ``size`` words of texts."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(16, min(int(MAX_MARKS).bit_length() - 1, (8 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.marks = np.zeros(1 << bits, bool)
+        self.marks[keys.view(np.uint64) >> self.shift] = True
+
+    def met(self, texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, words at which runs begin in all texts, and keys' numbers, of runs that are keys."""
+        grams = ngram_hashes(texts.hashes, size)
+        # most runs are no key, and the marks rule them out
+        at = np.flatnonzero(self.marks[grams >> self.shift])
+        grams = grams[at].view(np.int64)
+        key = np.searchsorted(self.keys, grams)
+        own = np.searchsorted(texts.first, at, "right") - 1
+        # a run must not go on into the next text
+        good = at + size <= texts.first[own + 1]
+        good[good] = self.keys[np.minimum(key[good], len(self.keys) - 1)] == grams[good]
+        return own[good], at[good], key[good]
 
 
 def windows_of(text: str | None, size: int) -> list[list[bytes]]:
@@ -49,18 +123,15 @@ def window_table(benchmark: DataFrame, text: str, key: str, window: int, shingle
     windows of an item once, from however many of its rows they come."""
 
     def cut(texts):
-        hashes, out = WordHashes(), []
+        out = []
         for t in texts:
-            out.append(
-                [
-                    {
-                        "words": b" ".join(w),
-                        "size": min(shingle, len(w)),
-                        "parts": ngram_hashes(hashes(w), min(shingle, len(w))).view(np.int64).tolist(),
-                    }
-                    for w in {b" ".join(w): w for w in windows_of(t, window)}.values()
-                ]
-            )
+            hashes = Texts([t]).hashes
+            found = {}
+            for i, w in enumerate(windows_of(t, window)):
+                size = min(shingle, len(w))
+                parts = ngram_hashes(hashes[i : i + len(w)], size).view(np.int64).tolist()
+                found[b" ".join(w)] = {"words": b" ".join(w), "size": size, "parts": parts}
+            out.append(list(found.values()))
         kind = pa.list_(
             pa.struct([("words", pa.binary()), ("size", pa.int32()), ("parts", pa.list_(pa.int64()))])
         )
@@ -83,29 +154,30 @@ class Windows:
     def __init__(self, rows: list[tuple[int, int, bytes, list[str]]], shingle: int = SHINGLE):
         rows = sorted(rows, key=lambda r: (r[0], r[2]))
         self.rows = [(place, words.split(), items) for _, place, words, items in rows]
-        self.keys, self.first, self.n = np.unique(
+        keys, self.first, self.n = np.unique(
             np.array([r[0] for r in rows], np.int64), return_index=True, return_counts=True
         )
+        self.keys = Keys(keys)
         self.sizes = sorted({min(shingle, len(words)) for _, words, _ in self.rows})
 
-    def find(self, words: list[bytes], hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Places (from, to) of all windows in the words, and the items they belong to."""
-        places, items = [], set()
-        for size in self.sizes:
-            grams = ngram_hashes(hashes, size).view(np.int64)
-            if not len(grams) or not len(self.keys):
-                continue
-            at = np.searchsorted(self.keys, grams)
-            at[at == len(self.keys)] = 0
-            for i in np.flatnonzero(self.keys[at] == grams).tolist():
-                first = self.first[at[i]]
-                for place, window, own in self.rows[first : first + self.n[at[i]]]:
-                    start = i - place
-                    # the place in the window and its length say where it must lie
-                    if start >= 0 and start + len(window) <= len(words) and words[start : start + len(window)] == window:
-                        places.append((start, start + len(window)))
-                        items.update(own)
-        return places, items
+    def find(self, texts: Texts) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
+        """By the number of the text: places (from, to) of all windows in its words, and the
+        items they belong to. Only texts that hold a window are listed."""
+        found, words, own = {}, None, None
+        met = [np.concatenate(c) for c in zip(*[self.keys.met(texts, size) for size in self.sizes])]
+        order = np.argsort(met[0], kind="stable") if met else []
+        for t, at, key in zip(*[c[order].tolist() for c in met]):
+            if t != own:
+                own, words, begin = t, texts.words(t), int(texts.first[t])
+            first = self.first[key]
+            for place, window, items in self.rows[first : first + self.n[key]]:
+                start = at - begin - place
+                # the place in the window and its length say where it must lie
+                if start >= 0 and start + len(window) <= len(words) and words[start : start + len(window)] == window:
+                    places, own_items = found.setdefault(t, ([], set()))
+                    places.append((start, start + len(window)))
+                    own_items.update(items)
+        return found
 
 
 def _blocks(windows: DataFrame, n_windows: int, limit: int) -> Iterator[list]:
@@ -117,6 +189,19 @@ def _blocks(windows: DataFrame, n_windows: int, limit: int) -> Iterator[list]:
         yield [(r["rarest"], r["place"], bytes(r["words"]), r["items"]) for r in rows.collect()]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
+    """The texts of the first column, about ``PIECE_BYTES`` at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for t in batch.column(0):
+            held.append(t.as_py())
+            size += len(held[-1] or "")
+            if size >= PIECE_BYTES:
+                yield Texts(held)
+                held, size = [], 0
+    yield Texts(held)
+
+
 def rarity(docs: DataFrame, text: str, shingles: DataFrame, sizes: list[int]) -> DataFrame:
     """How often each shingle of the benchmark (column ``part``) occurs in the documents.
 
@@ -132,18 +217,12 @@ def rarity(docs: DataFrame, text: str, shingles: DataFrame, sizes: list[int]) ->
         shared = spark.sparkContext.broadcast((np.sort(rows["part"].to_numpy(np.int64)), sizes))
 
         def counted(batches, shared=shared):
-            hashes = WordHashes()
             keys, sizes = shared.value
+            looked_for = Keys(keys)
             n = np.zeros(len(keys), np.int64)
-            for batch in batches:
-                for t in batch.column(0):
-                    own = hashes(words_of(t.as_py()))
-                    for size in sizes:
-                        grams = ngram_hashes(own, size).view(np.int64)
-                        if len(grams) and len(keys):
-                            at = np.searchsorted(keys, grams)
-                            at[at == len(keys)] = 0
-                            np.add.at(n, at[keys[at] == grams], 1)
+            for texts in _pieces(batches):
+                for size in sizes:
+                    np.add.at(n, looked_for.met(texts, size)[2], 1)
             met = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"part": keys[met], "n": n[met]})
 
@@ -164,20 +243,20 @@ def _block_hits(texts: DataFrame, block) -> DataFrame:
     ``ends``: where the runs of words inside windows begin and end, in turn."""
 
     def met(texts):
-        hashes = WordHashes.shared()
+        made = Texts(texts)
+        found = block.value.find(made)
         ends, items = [], []
-        for t in texts:
-            words = words_of(t)
-            places, found = block.value.find(words, hashes(words))
-            hit = np.zeros(len(words) + 2, np.int64)
+        for i, n in enumerate(made.counts().tolist()):
+            places, own = found.get(i, ([], ()))
+            hit = np.zeros(n + 2 if places else 0, np.int64)
             for a, b in places:
                 hit[a + 1] += 1
                 hit[b + 1] -= 1
             ends.append(np.flatnonzero(np.diff(np.cumsum(hit) > 0)))
-            items.append(sorted(found))
+            items.append(sorted(own))
         return {"ends": pa.array(ends, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
 
-    hits = map_texts(texts, "text", "ends array<bigint>, items array<string>", met)
+    hits = map_texts(texts, "text", "ends array<bigint>, items array<string>", met, PIECE_BYTES)
     return hits.filter("size(items) > 0").dropDuplicates(["id"])
 
 
@@ -217,9 +296,9 @@ def _block_by_block(docs: DataFrame, text: str, blocks: Iterator[list], shingle:
         hits = found if hits is None else hits.unionByName(found)
 
     def counted(texts):
-        return {"n_words": pa.array([len(words_of(t)) for t in texts], pa.int64())}
+        return {"n_words": pa.array(Texts(texts).counts(), pa.int64())}
 
-    rows = map_texts(docs.withColumn("_hit_id", named), text, "n_words bigint", counted)
+    rows = map_texts(docs.withColumn("_hit_id", named), text, "n_words bigint", counted, PIECE_BYTES)
     found = _added_up(hits).withColumnRenamed("id", "_hit_id")
     joined = lookup_join(
         rows.withColumn("_hit_row", F.monotonically_increasing_id()), found, ["_hit_id"], ["_hit_row"], weight=None
@@ -275,32 +354,31 @@ def decontaminate(
     if n_windows > block_windows:
         return _block_by_block(docs, text, blocks, shingle)
     block = spark.sparkContext.broadcast(Windows(next(blocks), shingle))
+    none = _digest([])
 
     def checked(texts):
-        hashes = WordHashes.shared()
-        n_words, n_hit, n_items, digest = [], [], [], []
-        for t in texts:
-            words = words_of(t)
-            own = hashes(words)
-            hit = np.zeros(len(words) + 1, np.int64)
-            places, items = block.value.find(words, own)
+        made = Texts(texts)
+        found = block.value.find(made)
+        n_words = made.counts()
+        n_hit, n_items, digest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [none] * len(texts)
+        for i, (places, items) in found.items():
+            hit = np.zeros(n_words[i] + 1, np.int64)
             for a, b in places:
                 hit[a] += 1
                 hit[b] -= 1
-            n_words.append(len(words))
-            n_hit.append(int((np.cumsum(hit) > 0).sum()))
-            n_items.append(len(items))
-            digest.append(_digest(items))
+            n_hit[i] = (np.cumsum(hit) > 0).sum()
+            n_items[i] = len(items)
+            digest[i] = _digest(items)
         return {
             "n_words": pa.array(n_words, pa.int64()),
             "n_hit": pa.array(n_hit, pa.int64()),
             "n_items": pa.array(n_items, pa.int64()),
             "items_sha256": pa.array(digest, pa.string()),
-            "contaminated": pa.array([n > 0 for n in n_hit], pa.bool_()),
+            "contaminated": pa.array(n_hit > 0, pa.bool_()),
         }
 
     schema = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    return map_texts(docs, text, schema, checked)
+    return map_texts(docs, text, schema, checked, PIECE_BYTES)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

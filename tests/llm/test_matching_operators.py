@@ -259,6 +259,25 @@ def test_decontamination_on_longer_shingles(spark):
     assert got == hits_by_hand(docs, items)
 
 
+def test_words_of_many_texts_are_hashed_at_once():
+    dice = random.Random(8)
+    words = ["a", "b", "É", "7", "Zed", "w" * 1100, "w" * 1200, *[f"v{i}" for i in range(4000)]]
+    texts = [None, "", " -- ", "A", " ".join(dice.choices(words, k=20_000)), "a", None, " ".join(words), ""]
+    made = decontamination.Texts(texts)
+    by_word, own = {}, [words_by_hand(t) for t in texts]
+    assert made.counts().tolist() == [len(w) for w in own]
+    for i, listed in enumerate(own):
+        assert [w.decode() for w in made.words(i)] == listed
+        for w, h in zip(listed, made.hashes[made.first[i] : made.first[i + 1]].tolist(), strict=True):
+            assert by_word.setdefault(w[:1000], h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    # a run of words ends with its text
+    runs = decontamination.Texts(["x y", "y x y", "x", "y"])
+    key = decontamination.ngram_hashes(runs.hashes[:2], 2).view(np.int64)
+    assert [c.tolist() for c in decontamination.Keys(key).met(runs, 2)] == [[0, 1], [0, 3], [0, 0]]
+    assert not len(decontamination.Keys(key[:0]).met(runs, 2)[0])
+
+
 # --- embeddings --------------------------------------------------------------------------
 
 
