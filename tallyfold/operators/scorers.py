@@ -7,6 +7,8 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -35,6 +37,8 @@ from tallyfold.operators.skew import (
 from tallyfold.sources.shared import settle, shared_folder
 
 MAX_MODEL_VALUES = 20_000_000
+PIECE_BYTES = 2 << 20
+ASCII_TOKENS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
 
 
 # --- class centroids -----------------------------------------------------------
@@ -153,14 +157,15 @@ def naive_bayes_scores(
     sent and joined, with frequent ones split.
     """
     classes = list(range(n_classes))
-    # a null token per text counts the texts themselves and keeps empty ones
-    words = F.concat(tokens(F.col(text)), F.array(F.lit(None).cast("string")))
-    docs = df.select(
+    texts = df.select(
         id_col,
         F.col(y).alias("y"),
         own_fold(y, fold, n_folds).alias("_fold"),
-        F.explode_outer(words).alias("token"),
+        F.col(text).alias("_text"),
     )
+    # a null token per text counts the texts themselves and keeps empty ones
+    words = F.concat(tokens(F.col("_text")), F.array(F.lit(None).cast("string")))
+    docs = texts.select(id_col, "y", "_fold", F.explode_outer(words).alias("token"))
     counted = key_table(_with_all_labels(docs.filter(F.col("y").isNotNull()), classes, n_folds))
     counts = counted.table
     by_token = counts.filter(F.col("token").isNotNull())
@@ -190,7 +195,7 @@ def naive_bayes_scores(
         number = F.when(F.col("token").isNotNull(), F.col("n")).otherwise(F.lit(0))
     else:
         least = frequent_from(weights, broadcast_bytes)
-        sums = settle(_frequent_sums(docs, weights, least, by_text, n_classes))
+        sums = settle(_frequent_sums(texts, weights, least, n_classes))
         # a token that no other fold has needs no row
         rare = F.lit(True) if least is None else F.col("n_rows") < least
         rest = replace(counted.filter(F.col("token").isNotNull() & rare & (left > 0)), weight=None)
@@ -246,26 +251,111 @@ def _with_all_labels(labelled: DataFrame, classes: Sequence[int], n_folds: int)
     )
 
 
-def _frequent_sums(
-    docs: DataFrame, weights: KeyTable, least: int | None, by_text: Sequence[str], n_classes: int
-) -> DataFrame:
-    """(by_text.., token, n, k0 .. kK-1): one row with a null token for each text, with the
+def _ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of ASCII texts and how many each has; null and empty texts have none. Where
+    all is ASCII, a token is a run of letters and digits, and lower case goes byte by byte."""
+    encoded = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
+    # a blank after each text ends its last token
+    joined = b" ".join([*encoded, b""]).translate(ASCII_TOKENS)
+    data = np.frombuffer(joined, np.uint8)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[1:] = data != 32
+    edges = np.flatnonzero(np.diff(inside))
+    ends = np.cumsum([0, *[len(t) + 1 for t in encoded]])
+    offsets = np.zeros(len(edges) // 2 + 1, np.int64)
+    np.cumsum(edges[1::2] - edges[::2], out=offsets[1:])
+    letters = pa.py_buffer(joined.translate(None, b" "))
+    words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), letters)
+    return words, np.diff(np.searchsorted(edges[::2], ends))
+
+
+def _token_pieces(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Rows whose last columns are an ASCII text and the tokens of any other text, about
+    ``PIECE_BYTES`` of both at a time: the rows, their distinct tokens, and for each of their
+    tokens its number among those and its row's."""
+    for batch in batches:
+        ascii_texts, others = batch.columns[-2:]
+        size = pc.add(
+            pc.binary_length(ascii_texts).fill_null(0).cast(pa.int64()),
+            pc.multiply(pc.list_value_length(others).fill_null(0).cast(pa.int64()), 8),
+        )
+        upto = np.cumsum(size.to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, before + PIECE_BYTES, "right")))
+            rows = batch.slice(start, end - start)
+            ascii_texts, others = rows.columns[-2:]
+            words, n = _ascii_words(ascii_texts)
+            n_others = pc.list_value_length(others).fill_null(0).to_numpy(zero_copy_only=False)
+            found = pa.concat_arrays([words, others.flatten().cast(words.type)]).dictionary_encode()
+            number = np.arange(end - start)
+            row = np.concatenate([np.repeat(number, n), np.repeat(number, n_others)])
+            yield rows, found.dictionary, found.indices.to_numpy().astype(np.int64), row
+            start = end
+
+
+def _frequent_sums(texts: DataFrame, weights: KeyTable, least: int | None, n_classes: int) -> DataFrame:
+    """(id, y, _fold, token, n, k0 .. kK-1): one row with a null token for each text, with the
     number and summed weights of its tokens of at least ``least`` rows, and one with the
-    number for each of its other tokens."""
+    number for each of its other tokens.
+
+    The frequent tokens, no more than fit a broadcast, go to the tasks as arrays. ASCII texts
+    are cut there, at a fraction of what the pattern takes; all others by the pattern."""
+    names = [f"w{c}" for c in range(n_classes)]
     frequent = weights.filter(F.lit(False) if least is None else F.col("n_rows") >= least)
-    values = frequent.table.select(
-        "token", "_fold", *[F.col(f"w{c}").alias(f"k{c}") for c in range(n_classes)], F.lit(True).alias("_known")
-    )
-    known = docs.join(F.broadcast(values), ["token", "_fold"], "left")
-    other = F.when(F.col("_known").isNull(), F.col("token"))
-    return (
-        known.groupBy(*by_text, other.alias("_other"))
-        .agg(
-            F.count("token").alias("n"),
-            *[F.sum(f"k{c}").alias(f"k{c}") for c in range(n_classes)],
-        )
-        .withColumnRenamed("_other", "token")
+    listed = frequent.table.select("token", "_fold", *names).toArrow()
+    coded = listed.column("token").cast(pa.large_string()).combine_chunks().dictionary_encode()
+    known = coded.dictionary
+    n_folds = max([0, *listed.column("_fold").to_pylist()]) + 2
+    table = np.full((max(1, len(known)) * n_folds, n_classes), np.nan)
+    at = coded.indices.to_numpy().astype(np.int64) * n_folds + listed.column("_fold").to_numpy() + 1
+    for c, name in enumerate(names):
+        table[at, c] = listed.column(name).to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast((known, n_folds, table))
+    ks = [f"k{c}" for c in range(n_classes)]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n_folds, table = shared.value
+        for rows, distinct, token, row in _token_pieces(batches):
+            fold = rows.column(2).to_numpy().astype(np.int64) + 1
+            place = pc.index_in(distinct, known).fill_null(-1).to_numpy().astype(np.int64)[token]
+            cell = np.where((place >= 0) & (fold[row] < n_folds), place * n_folds + fold[row], -1)
+            hit = (cell >= 0) & ~np.isnan(table[cell, 0])
+            sums = [np.bincount(row[hit], table[cell[hit], c], rows.num_rows) for c in range(len(ks))]
+            pairs, n = np.unique(row[~hit] * len(distinct) + token[~hit], return_counts=True)
+            own = rows.select(rows.schema.names[:3])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *own.columns,
+                    pa.nulls(rows.num_rows, pa.string()),
+                    pa.array(np.bincount(row[hit], minlength=rows.num_rows), pa.int64()),
+                    *[pa.array(s, pa.float64()) for s in sums],
+                ],
+                [*own.schema.names, "token", "n", *ks],
+            )
+            if len(pairs):
+                others = own.take(pa.array(pairs // len(distinct)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *others.columns,
+                        distinct.take(pa.array(pairs % len(distinct))).cast(pa.string()),
+                        pa.array(n, pa.int64()),
+                        *[pa.nulls(len(n), pa.float64()) for _ in ks],
+                    ],
+                    [*own.schema.names, "token", "n", *ks],
+                )
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:3]]
+    plain = F.length("_text") == F.octet_length("_text")
+    cut = texts.select(
+        *texts.columns[:3],
+        F.when(plain, F.col("_text")).alias("_ascii"),
+        F.when(~plain, tokens(F.col("_text"))).alias("_tokens"),
     )
+    return cut.mapInArrow(summed, ", ".join([*kept, "token string", "n bigint", *[f"{k} double" for k in ks]]))
 
 
 # --- pyspark.ml models -----------------------------------------------------------

@@ -103,16 +103,14 @@ def lookup_join(
     if keys.is_small(broadcast_bytes):
         return rows.join(F.broadcast(values), on, "left")
 
+    # hot keys are known by a hash, 8 bytes each; a collision only splits a key more
+    hashed = F.xxhash64(*on).alias("_key")
     if keys.weight:
-        counts, n, total = keys.table, keys.weight, keys.total
+        counts, total = keys.table.select(hashed, F.col(keys.weight).alias("_n")), keys.total
     else:
-        counts, n = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), "_n"
-        total = rows.count()
-    # hot keys are known by a hash, 8 bytes each; a collision only splits a key more
+        counts, total = rows.groupBy(hashed).agg(F.count(F.lit(1)).alias("_n")), rows.count()
     hot = F.broadcast(
-        counts.filter(F.col(n) * HOT_SHARE >= F.lit(total))
-        .select(F.xxhash64(*on).alias("_key"), F.lit(True).alias("_hot"))
-        .distinct()
+        counts.filter(F.col("_n") * HOT_SHARE >= F.lit(total)).select("_key", F.lit(True).alias("_hot")).distinct()
     )
     salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
     no_key = F.lit(False)

@@ -112,6 +112,24 @@ def test_pseudo_labels_count_labelled_texts_only(spark, monkeypatch):
     assert counted == [30]
 
 
+def test_naive_bayes_sums_known_tokens_without_a_shuffle(spark, monkeypatch):
+    texts = ["The CAT_sat", "the ÄRGER x²", "", None, "cat the\x00dog 12a", "Σ ΣΑΣ İx cat", "\u0301 -- the"]
+    rows = [(i, texts[i % 7], None if i % 5 == 4 else i % 2, i % 3) for i in range(70)]
+    df = spark.createDataFrame(rows, "id bigint, text string, y int, fold int")
+    tables, settle = [], scorers.settle
+    monkeypatch.setattr(scorers, "settle", lambda table: tables.append(table) or settle(table))
+    for piece in (1, 1 << 20):
+        monkeypatch.setattr(scorers, "PIECE_BYTES", piece)
+        few = scorers.naive_bayes_scores(df, "id", "text", "y", "fold", 2, 3, broadcast_bytes=1500)
+        all_known = scorers.naive_bayes_scores(df, "id", "text", "y", "fold", 2, 3, broadcast_bytes=1 << 30)
+        got, want = ({r.id: r.probs for r in d.collect()} for d in (few, all_known))
+        assert len(got) == 70 and got == {i: pytest.approx(p, rel=1e-9) for i, p in want.items()}
+    # the tokens of each text were grouped by text and token, with a shuffle of all pairs
+    assert len(tables) == 2
+    for table in tables:
+        assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+
+
 def test_naive_bayes_unknown_tokens_add_alpha(spark):
     rows = [(0, "a b", 0, 0), (1, "a a c", 1, 1), (2, "b", 1, 0), (3, "a z z", None, 0), (4, None, 0, 1)]
     df = spark.createDataFrame(rows, "id bigint, text string, y int, fold int")
